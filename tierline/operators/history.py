@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import neighbours, running_sum
+from .skew import neighbours, quantile_cuts, running_sum
 
 
 def normal_text(c: str):
@@ -26,19 +26,22 @@ def versions(snapshots: DataFrame, key: str, at: str, loaded: str, attributes: l
     states = (
         snapshots.dropna(subset=[key, at])
         .select(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.struct(F.col(loaded).alias("l"), vals.alias("v")).alias("s"))
-        .groupBy("key", "t")
+    )
+    cuts = quantile_cuts(states, ["key"], "t")
+    states = (
+        states.groupBy("key", "t")
         .agg(F.max("s").alias("s"))
         .select("key", "t", *[F.col(f"s.v.{a}").alias(a) for a in attributes])
     )
     same = [normal_text(a) if a in texts else F.col(a) for a in attributes]
     told = [F.coalesce(c.cast("string"), F.lit("\x01")) for c in same]
     states = states.withColumn("h", F.struct(F.sha2(F.concat_ws("\x02", *told), 256).alias("x")))
-    marked = neighbours(states, ["key"], "t", {"prev_h": "h"}).withColumn("change", F.when(F.col("prev_h.x") == F.col("h.x"), 0).otherwise(1).cast("bigint"))
-    numbered = running_sum(marked.drop("prev_h", "h"), ["key"], "t", "change", "version")
+    marked = neighbours(states, ["key"], "t", {"prev_h": "h"}, cuts).withColumn("change", F.when(F.col("prev_h.x") == F.col("h.x"), 0).otherwise(1).cast("bigint"))
+    numbered = running_sum(marked.drop("prev_h", "h"), ["key"], "t", "change", "version", cuts)
     islands = numbered.groupBy("key", "version").agg(
         F.min("t").alias("t"), F.max("t").alias("seen"), F.count(F.lit(1)).alias("n_states"),
         F.min_by(F.struct(*attributes), "t").alias("v"),
     )
-    ended = neighbours(islands.withColumn("s", F.struct("t")), ["key"], "t", {"next_s": "s"})
+    ended = neighbours(islands.withColumn("s", F.struct("t")), ["key"], "t", {"next_s": "s"}, cuts)
     ntz = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
     return ended.select(F.col("key").alias(key), "version", "v.*", ntz(F.col("t")).alias("valid_from"), ntz(F.col("next_s.t")).alias("valid_to"), ntz(F.col("seen")).alias("last_seen"), "n_states")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import neighbours, salted_join
+from .skew import heavy_keys, neighbours, quantile_cuts, salted_join
 
 #: Stands for "the end of the log" where a reference has no time.
 END = "9999-12-31 23:59:59"
@@ -24,10 +24,10 @@ def existence(log: DataFrame, key: str = "node_id", op: str = "op", at: str = "e
     states = (
         log.select(F.col(key).alias("key"), _micros(at).alias("t"), F.col(op).alias("op"), F.col(seq).alias("seq"))
         .dropna(subset=["key", "t"])
-        .groupBy("key", "t")
-        .agg(F.max_by("op", F.struct("seq", "op")).alias("op"))
     )
-    spans = neighbours(states.withColumn("s", F.struct("t")), ["key"], "t", {"next_s": "s"})
+    cuts = quantile_cuts(states, ["key"], "t")
+    states = states.groupBy("key", "t").agg(F.max_by("op", F.struct("seq", "op")).alias("op"))
+    spans = neighbours(states.withColumn("s", F.struct("t")), ["key"], "t", {"next_s": "s"}, cuts)
     return spans.where("op = 'insert'").select(F.col("key").alias("parent"), F.col("t").alias("alive_from"), F.col("next_s.t").alias("alive_to"))
 
 
@@ -49,8 +49,8 @@ def orphans(edges: DataFrame, log: DataFrame, row_id: str = "id", fields: tuple[
     pairs = refs.select("key", "t").distinct()
     spans = existence(log)
     alive = (F.col("t") >= F.col("alive_from")) & (F.col("alive_to").isNull() | (F.col("t") < F.col("alive_to")))
-    missing = salted_join(pairs, spans.withColumnRenamed("parent", "key"), ["key"], "left_anti", alive, spread=["t"])
-    return salted_join(refs, missing, ["key", "t"], "left_semi", spread=["row_id", "field_name"]).select("row_id", "field_name", "key", "at")
+    missing = salted_join(pairs, spans.withColumnRenamed("parent", "key"), ["key"], "left_anti", heavy_keys(refs, ["key"]), alive, spread=["t"])
+    return salted_join(refs, missing, ["key", "t"], "left_semi", heavy_keys(refs, ["key", "t"]), spread=["row_id", "field_name"]).select("row_id", "field_name", "key", "at")
 
 
 def orphan_report(edges: DataFrame, log: DataFrame, table: str = "edges", row_id: str = "id", fields: tuple[str, ...] = ("source_id", "target_id"), at: str = "last_verified") -> DataFrame:

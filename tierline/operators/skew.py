@@ -1,7 +1,8 @@
 """Work on keyed rows when one key may hold a large share of all rows.
 
-``heavy_keys`` finds the keys that hold more than ``SHARE`` of the rows. There are fewer than
-``1 / SHARE`` of them whatever the data, which is the size bound that allows their broadcast.
+A key is heavy if it holds more than ``SHARE`` of the rows and more than ``LEAST`` rows. There are fewer
+than ``1 / SHARE`` heavy keys whatever the data; this bound allows to bring them to the driver and to
+broadcast them. Where there are none the plans are the plain ones. Results never depend on this.
 """
 
 from __future__ import annotations
@@ -12,55 +13,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: A key is heavy if it holds more than this share of the rows.
+from ..session import cut
+
+#: A key is heavy if it holds more than this share of the rows,
 SHARE = 1 / 200
+#: and more rows than a task handles with ease.
+LEAST = 50_000
 #: Pieces into which the rows of a heavy key are cut.
 PIECES = 64
 
 
-def heavy_keys(df: DataFrame, keys: list[str], share: float = SHARE) -> DataFrame:
-    """The keys that hold more than ``share`` of the rows of ``df`` (fewer than 1/share of them).
+def heavy_keys(df: DataFrame, keys: list[str], share: float = SHARE, least: int = LEAST) -> DataFrame | None:
+    """The heavy keys of ``df`` as a local table of fewer than 1/share rows, or None. Null keys don't count.
 
-    Counts are combined map-side. Rows with a null in a key are not counted; they never join.
+    Counts are combined map-side; only the heavy keys reach the driver.
     """
-    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    counts = df.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.select(F.sum("__n")).scalar()
-    return counts.where(F.col("__n") > total * F.lit(share)).select(*keys)
+    rows = counts.where((F.col("__n") > F.lit(least)) & (F.col("__n") > total * F.lit(share))).select(*keys).collect()
+    return df.sparkSession.createDataFrame(rows, df.select(*keys).schema) if rows else None
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", cond: Column | None = None, spread: list[str] | None = None, salts: int = 16, share: float = SHARE) -> DataFrame:
-    """Equi-join that spreads the left rows of heavy keys over ``salts`` pieces.
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str, heavy: DataFrame | None, cond: Column | None = None, spread: list[str] | None = None, salts: int = 32) -> DataFrame:
+    """Equi-join that spreads the left rows of the ``heavy`` keys over ``salts`` pieces.
 
-    The right rows of those keys, and only those, are repeated once per piece. ``spread`` names
-    left columns whose hash gives the piece (default: all). ``how`` keeps left rows: inner, left,
-    left_semi or left_anti. ``cond`` may refer to columns of both sides, whose other names must differ.
+    The right rows of those keys, and only those, are repeated once per piece. ``spread`` names left
+    columns whose hash gives the piece (default: all). ``how`` keeps left rows: inner, left, left_semi
+    or left_anti. ``cond`` may refer to columns of both sides, whose other names must differ.
     """
     assert how in {"inner", "left", "left_semi", "left_anti"}, how
-    heavy = F.broadcast(heavy_keys(left, on, share).withColumn("__heavy", F.lit(True)))
-    piece = F.pmod(F.xxhash64(*(spread or left.columns)), F.lit(salts)).cast("int")
-    a = left.join(heavy, on, "left").withColumn("__salt", F.when(F.col("__heavy"), piece).otherwise(F.lit(0))).drop("__heavy")
-    b = right.join(heavy, on, "left").withColumn("__salt", F.explode(F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__heavy")
-    keys = [*on, "__salt"]
+    keys = list(on)
+    if heavy is not None:
+        mark = F.broadcast(heavy.select(*on, F.lit(True).alias("__heavy")))  # fewer than 1/SHARE rows
+        piece = F.pmod(F.xxhash64(*(spread or left.columns)), F.lit(salts)).cast("int")
+        left = left.join(mark, on, "left").withColumn("__salt", F.when(F.col("__heavy"), piece).otherwise(F.lit(0))).drop("__heavy")
+        all_pieces = F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        right = right.join(mark, on, "left").withColumn("__salt", F.explode(all_pieces)).drop("__heavy")
+        keys.append("__salt")
     if cond is None:
-        return a.join(b, keys, how).drop("__salt")
+        return left.join(right, keys, how).drop("__salt")
     names = {k: f"__r_{k}" for k in keys}
-    b = b.withColumnsRenamed(names)
     both = reduce(lambda x, y: x & y, [F.col(k) == F.col(r) for k, r in names.items()]) & cond
-    return a.join(b, both, how).drop("__salt", *names.values())
+    return left.join(right.withColumnsRenamed(names), both, how).drop("__salt", *names.values())
 
 
-def _blocks(df: DataFrame, keys: list[str], order: str, share: float, pieces: int) -> DataFrame:
-    """``__block``: for heavy keys the quantile range of ``order`` that a row falls into, else 0.
+def quantile_cuts(df: DataFrame, keys: list[str], order: str, share: float = SHARE, least: int = LEAST, pieces: int = PIECES) -> DataFrame | None:
+    """For each heavy key the quantiles of ``order`` that part its rows: a local table, or None.
 
-    Also ``__cut``, true for rows of heavy keys. The quantiles of at most 1/share keys are broadcast.
+    It has fewer than 1/share rows of ``pieces`` - 1 numbers.
     """
-    heavy = heavy_keys(df, keys, share)
+    heavy = heavy_keys(df, keys, share, least)
+    if heavy is None:
+        return None
+    at = F.col(order).cast("double")
+    cuts = df.select(*keys, order).join(F.broadcast(heavy), keys, "left_semi").groupBy(*keys).agg(F.percentile_approx(at, [i / pieces for i in range(1, pieces)], 2000).alias("__cuts"))
+    return df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
+
+
+def _blocks(df: DataFrame, keys: list[str], order: str, cuts: DataFrame) -> DataFrame:
     at = F.col(order).cast("double")
-    cuts = (
-        df.join(F.broadcast(heavy), keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx(at, [i / pieces for i in range(1, pieces)], 2000).alias("__cuts"))
-    )
     return (
         df.join(F.broadcast(cuts), keys, "left")
         .withColumn("__cut", F.col("__cuts").isNotNull())
@@ -69,55 +80,64 @@ def _blocks(df: DataFrame, keys: list[str], order: str, share: float, pieces: in
     )
 
 
-def neighbours(df: DataFrame, keys: list[str], order: str, payload: dict[str, str], share: float = SHARE, pieces: int = PIECES) -> DataFrame:
+def neighbours(df: DataFrame, keys: list[str], order: str, payload: dict[str, str], cuts: DataFrame | None) -> DataFrame:
     """For each row the nearest earlier and later non-null payload of its key, by ``order``.
 
     ``payload`` maps an output column to the struct column it takes: ``{"prev_x": "x"}``; names that
-    begin with ``next`` look forward, others back. ``order`` is numeric, not null and should be unique
-    in its key (a tie is broken arbitrarily but consistently by the payload's hash).
+    begin with ``next`` look forward, others back. ``order`` is numeric and not null; where it ties, the
+    payload's hash decides.
 
-    The rows of heavy keys are cut into quantile ranges, each sorted by itself. What a range needs from
-    outside is the last (first) payload of the ranges before (after) it; it arrives as one extra row.
+    With ``cuts`` (see quantile_cuts) the rows of heavy keys are sorted range by range. What a range
+    needs from outside is the last (first) payload of the ranges before (after) it; it arrives as one
+    extra row. ``df`` is then written once, as it is read twice.
     """
-    b = _blocks(df, keys, order, share, pieces)
     sources = list(dict.fromkeys(payload.values()))
-    per = (
-        b.where("__cut")
-        .groupBy(*keys, "__block")
-        .agg(
-            *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"__last_{c}") for c in sources],
-            *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"__first_{c}") for c in sources],
-            F.min(order).alias("__lo"), F.max(order).alias("__hi"),
-        )
-    )
-    chain = W.partitionBy(*keys).orderBy("__block")
-    back, ahead = chain.rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys).orderBy(F.desc("__block")).rowsBetween(W.unboundedPreceding, -1)
-    carried = per.select(
-        *keys, "__block", "__lo", "__hi",
-        *[F.last(f"__last_{c}", True).over(back).alias(f"__b_{c}") for c in sources],
-        *[F.last(f"__first_{c}", True).over(ahead).alias(f"__a_{c}") for c in sources],
-    )
-    base = b.drop("__cut").withColumn("__side", F.lit(0))
-    kept = [c for c in base.columns if c not in {*keys, "__block", "__side", order, *sources}]
-    blank = {c: F.lit(None).cast(base.schema[c].dataType).alias(c) for c in kept}
-    ghost = lambda side, at, mark: carried.select(*keys, "__block", F.lit(side).alias("__side"), F.col(at).cast(base.schema[order].dataType).alias(order), *[F.col(f"{mark}{c}").alias(c) for c in sources], *blank.values())
-    rows = base.unionByName(ghost(-1, "__lo", "__b_")).unionByName(ghost(1, "__hi", "__a_"))
     tie = F.xxhash64(*[F.col(c) for c in sources])
-    part = W.partitionBy(*keys, "__block")
-    up = part.orderBy(F.col(order), F.col("__side"), tie).rowsBetween(W.unboundedPreceding, -1)
-    down = part.orderBy(F.col(order).desc(), F.col("__side").desc(), tie.desc()).rowsBetween(W.unboundedPreceding, -1)
+    if cuts is None:
+        rows, part, side = df, W.partitionBy(*keys), []
+    else:
+        df = cut(df)
+        b = _blocks(df, keys, order, cuts)
+        there = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), tie.alias("h"))).alias("w")
+        per = (
+            b.where("__cut")
+            .groupBy(*keys, "__block")
+            .agg(
+                *[F.max_by(F.col(c), there(c)).alias(f"__last_{c}") for c in sources],
+                *[F.min_by(F.col(c), there(c)).alias(f"__first_{c}") for c in sources],
+                F.min(order).alias("__lo"), F.max(order).alias("__hi"),
+            )
+        )
+        back = W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+        ahead = W.partitionBy(*keys).orderBy(F.desc("__block")).rowsBetween(W.unboundedPreceding, -1)
+        carried = per.select(
+            *keys, "__block", "__lo", "__hi",
+            *[F.last(f"__last_{c}", True).over(back).alias(f"__b_{c}") for c in sources],
+            *[F.last(f"__first_{c}", True).over(ahead).alias(f"__a_{c}") for c in sources],
+        )
+        base = b.drop("__cut").withColumn("__side", F.lit(0))
+        kept = [c for c in base.columns if c not in {*keys, "__block", "__side", order, *sources}]
+        blank = [F.lit(None).cast(base.schema[c].dataType).alias(c) for c in kept]
+        ghost = lambda where, at, mark: carried.select(*keys, "__block", F.lit(where).alias("__side"), F.col(at).cast(base.schema[order].dataType).alias(order), *[F.col(f"{mark}{c}").alias(c) for c in sources], *blank)
+        rows = base.unionByName(ghost(-1, "__lo", "__b_")).unionByName(ghost(1, "__hi", "__a_"))
+        part, side = W.partitionBy(*keys, "__block"), [F.col("__side")]
+    up = part.orderBy(F.col(order), *side, tie).rowsBetween(W.unboundedPreceding, -1)
+    down = part.orderBy(F.col(order).desc(), *[c.desc() for c in side], tie.desc()).rowsBetween(W.unboundedPreceding, -1)
     out = rows.withColumns({name: F.last(c, True).over(down if name.startswith("next") else up) for name, c in payload.items()})
-    return out.where("__side = 0").drop("__side", "__block")
+    return out if cuts is None else out.where("__side = 0").drop("__side", "__block")
 
 
-def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str, share: float = SHARE, pieces: int = PIECES) -> DataFrame:
-    """Inclusive running sum of ``value`` (a bigint) per key by ``order`` (unique in its key); heavy keys in ranges."""
-    b = _blocks(df, keys, order, share, pieces)
+def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str, cuts: DataFrame | None) -> DataFrame:
+    """Inclusive running sum of ``value`` (a bigint) per key by ``order`` (unique in its key); heavy keys range by range."""
+    frame = lambda *k: W.partitionBy(*k).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    if cuts is None:
+        return df.withColumn(out, F.sum(value).over(frame(*keys)))
+    df = cut(df)
+    b = _blocks(df, keys, order, cuts)
     sums = b.where("__cut").groupBy(*keys, "__block").agg(F.sum(value).alias("__s"))
     before = sums.select(*keys, "__block", F.coalesce(F.sum("__s").over(W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    local = F.sum(value).over(W.partitionBy(*keys, "__block").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
     return (
-        b.join(F.broadcast(before), [*keys, "__block"], "left")  # at most pieces / share rows
-        .withColumn(out, (local + F.coalesce("__before", F.lit(0))).cast("bigint"))
+        b.join(F.broadcast(before), [*keys, "__block"], "left")  # fewer than PIECES / SHARE rows
+        .withColumn(out, (F.sum(value).over(frame(*keys, "__block")) + F.coalesce("__before", F.lit(0))).cast("bigint"))
         .drop("__before", "__block", "__cut")
     )
