@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.history import versions
+from .operators.impute import STAND_INS, fill_nodes, impute_nodes
 from .operators.references import orphan_report, orphans
 
 
@@ -70,3 +71,22 @@ SQL = {
     "p5_found": _VERSIONS + "SELECT id AS node_id, strftime(valid_from, '%Y-%m-%d %H:%M:%S') AS valid_from, coalesce(strftime(valid_to, '%Y-%m-%d %H:%M:%S'), '') AS valid_to FROM v",
     "p5_history": _VERSIONS + "SELECT id, version, valid_from, valid_to, last_seen, n_states FROM v",
 }
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return impute_nodes(read(spark, d, "nodes")).select(F.col("row_id").alias("node_id"), "field_name")
+
+
+def p4_filled(spark: SparkSession, d: str) -> DataFrame:
+    return fill_nodes(read(spark, d, "nodes")).select("id", *[x for f in ("trailing_pe", "gross_margin", "sector", "industry") for x in (f, f"{f}_filled", f"{f}_donor", f"{f}_level")])
+
+
+QUERIES |= {f.__name__: f for f in (p4_found, p4_filled)}
+_STAND_INS = ", ".join(f"'{x}'" for x in STAND_INS)
+_KNOWN = lambda c: f"(({c}) IS NULL OR lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')) IN ({_STAND_INS}))"
+SQL["p4_found"] = f"""
+SELECT id AS node_id, 'trailing_pe' AS field_name FROM nodes WHERE trailing_pe IS NULL OR isnan(trailing_pe) OR NOT (trailing_pe > 0 AND trailing_pe < 1000)
+UNION ALL SELECT id, 'gross_margin' FROM nodes WHERE gross_margin IS NULL OR isnan(gross_margin) OR NOT gross_margin BETWEEN -1 AND 1
+UNION ALL SELECT id, 'sector' FROM nodes WHERE {_KNOWN("sector")}
+UNION ALL SELECT id, 'industry' FROM nodes WHERE {_KNOWN("industry")}
+"""
