@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .companies import company_groups, mention_links
+from .consensus import survivors
 from .encoding import garbled
 from .merkle import collapse, copies
 
@@ -32,7 +34,18 @@ def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
     return garbled(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_collapsed, p10_found, p10_repaired)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    nodes = read(spark, d, "nodes")
+    links = mention_links(read(spark, d, "dependencies"), nodes, read(spark, d, "alias_hits"))
+    exact = nodes.select(F.col("name").alias("text")).distinct()
+    return links.join(exact, "text", "left_anti").select(F.col("row_id").alias("dep_id"), "field_name", F.col("group_id").alias("node_id"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivors(read(spark, d, "nodes")).select("group_id", "name_id", "ticker_id", "cap_id")
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p7_found, p3_found, p3_collapsed, p10_found, p10_repaired)}
 
 _KEPT = """
 WITH w AS (SELECT id, source_id, target_id, list_sort(list_filter(string_split_regex(lower(upper(dependency_type)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS words FROM edges),
