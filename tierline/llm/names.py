@@ -24,7 +24,7 @@ DIGITS = str.maketrans("013457", "oleast")
 NO_TICKER = ("", "N/A", "NA", "NONE", "NULL", "-", "--", "?", "TBD", "UNKNOWN", "NAN", "N.A.")
 
 _TICKER = re.compile(r"^[\s($\[]*(?:(?:nyse|nasdaq|amex|arca|bats|ticker|symbol)\s*:?\s*)?\$?([a-z]{1,6}[0-9]?)(?:\s+us)?[\s)\]]*$", re.IGNORECASE)
-_VOWELS = re.compile("[aeiouy]")
+_VOWELS = re.compile("[aeiou]")
 
 
 def osa(a: str, b: str, most: int) -> int:

@@ -9,6 +9,7 @@ from .companies import company_groups, mention_links
 from .consensus import survivors
 from .encoding import garbled
 from .merkle import collapse, copies
+from .vocabulary import map_values
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +46,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors(read(spark, d, "nodes")).select("group_id", "name_id", "ticker_id", "cap_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p7_found, p3_found, p3_collapsed, p10_found, p10_repaired)}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    terms = read(spark, d, "canon_terms")
+    exact = terms.select("field_name", F.col("term").alias("text"))
+    mapped = map_values(read(spark, d, "dependencies"), terms)
+    return mapped.join(exact, ["field_name", "text"], "left_anti").select(F.col("row_id").alias("dep_id"), "field_name", "term_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p6_found, p7_found, p3_found, p3_collapsed, p10_found, p10_repaired)}
 
 _KEPT = """
 WITH w AS (SELECT id, source_id, target_id, list_sort(list_filter(string_split_regex(lower(upper(dependency_type)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS words FROM edges),
