@@ -67,9 +67,8 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
 
     a, b = banded(left, "l"), banded(right, "r")
     met = salted_join(a, b, ["band"], "inner", heavy_keys(a, ["band"]), spread=["l_joined"])
-    near = (F.levenshtein("l_joined", "r_joined", 2 * EDITS + 1) >= 0) | (F.levenshtein("l_turned", "r_joined", 2 * EDITS) >= 0) | ((F.col("l_bones") == F.col("r_bones")) & (F.length("l_bones") >= 5))
-    words = F.levenshtein("l_joined", "r_joined", 4 * EDITS) >= 0  # both words may be hit
-    pairs = met.where(near | words).select("l_core", "r_core").distinct()
+    near = (F.levenshtein("l_joined", "r_joined", 2 * EDITS) >= 0) | (F.levenshtein("l_turned", "r_joined", 2 * EDITS) >= 0) | ((F.col("l_bones") == F.col("r_bones")) & (F.length("l_bones") >= 5))
+    pairs = met.where(near).select("l_core", "r_core").distinct()
     return pairs.withColumn("like", likeness("l_core", "r_core")).where(F.col("like") >= LEAST)
 
 

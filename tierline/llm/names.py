@@ -150,11 +150,10 @@ def monge_elkan(a: tuple[str, ...], b: tuple[str, ...], most: int = 2) -> float:
         d = osa(x, y, most)
         return 0.0 if d > most else 1 - d / max(len(x), len(y), 1)
 
-    def one(p: tuple[str, ...], q: tuple[str, ...]) -> float:
-        return sum(max(inner(x, y) for y in q) for x in p) / len(p)
-
     if not a or not b:
         return 0.0
     whole = max(inner("".join(a), "".join(b[k:] + b[:k])) for k in range(len(b)))
-    by_word = min(one(a, b), one(b, a)) if len(a) == len(b) else 0.0
-    return max(whole, by_word)
+    if whole > 0 or len(a) != len(b):
+        return whole
+    table = [[inner(x, y) for y in b] for x in a]
+    return min(sum(max(r) for r in table) / len(a), sum(max(r[j] for r in table) for j in range(len(b))) / len(b))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .companies import company_groups, mention_links
 from .consensus import survivors
 from .encoding import garbled
+from .leakage import leaks
 from .merkle import collapse, copies
+from .packing import pack, token_counts
 from .vocabulary import map_values
 
 
@@ -53,7 +55,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return mapped.join(exact, ["field_name", "text"], "left_anti").select(F.col("row_id").alias("dep_id"), "field_name", "term_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p6_found, p7_found, p3_found, p3_collapsed, p10_found, p10_repaired)}
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return pack(token_counts(read(spark, d, "documents")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(read(spark, d, "documents"), read(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p8_pack, p9_found, p2_found, p6_found, p7_found, p3_found, p3_collapsed, p10_found, p10_repaired)}
 
 _KEPT = """
 WITH w AS (SELECT id, source_id, target_id, list_sort(list_filter(string_split_regex(lower(upper(dependency_type)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS words FROM edges),
