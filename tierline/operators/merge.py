@@ -22,7 +22,7 @@ def roster_merge(roster: DataFrame, existing: DataFrame, limit: int | None = Non
     """
     known = existing.where("ticker <> ''").select(F.col("ticker").alias("symbol")).distinct()
     first = lambda c: F.row_number().over(W.partitionBy(c).orderBy("arrival"))
-    new = roster.join(known, "symbol", "left_anti").withColumn("k", first("name")).where("k = 1").withColumn("k", first("symbol")).where("k = 1").drop("k")
+    new = roster.join(known, "symbol", "left_anti").withColumn("__k", first("name")).where("__k = 1").withColumn("__k", first("symbol")).where("__k = 1").drop("__k")
     return new.orderBy("arrival").limit(limit) if limit else new
 
 
@@ -34,7 +34,7 @@ def insert_if_absent(stored: DataFrame, batch: DataFrame, order: list[str], dedu
     new = batch.join(stored.select(*PAIR).distinct(), PAIR, "left_anti")
     if not dedupe_batch:
         return new
-    return new.withColumn("k", F.row_number().over(W.partitionBy(*PAIR).orderBy(*order))).where("k = 1").drop("k")
+    return new.withColumn("__k", F.row_number().over(W.partitionBy(*PAIR).orderBy(*order))).where("__k = 1").drop("__k")
 
 
 def next_ids(rows: DataFrame, stored: DataFrame, order: str, out: str = "id") -> DataFrame:
