@@ -33,6 +33,8 @@ def osa(a: str, b: str, most: int) -> int:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
+    if not a or not b:
+        return max(len(a), len(b))
     two, one, now = None, list(range(len(b) + 1)), []
     for i, x in enumerate(a, 1):
         now = [i] + [0] * len(b)
