@@ -20,6 +20,9 @@ FILLERS = frozenset("a an and of the our my for etc misc various bulk new order
 #: Least similarity of a repaired token, least score of an entry, shortest abbreviation.
 TOKEN, ENTRY, ABBREVIATION = 0.6, 0.6, 3
 
+#: Longest token in which edits are repaired; a longer one must be typed without fault.
+LONGEST = 64
+
 _TEXTS = T.ArrayType(T.StringType())
 
 
@@ -33,7 +36,8 @@ def words(text: str) -> list[str]:
 
 
 def _edits(n: int) -> int:
-    return 0 if n < 4 else 1 if n < 6 else 2
+    """Edits allowed in a token of n letters; beyond LONGEST none, as its neighbourhood would grow with the square of n."""
+    return 0 if n < 4 or n > LONGEST else 1 if n < 6 else 2
 
 
 def bones(token: str) -> str:
