@@ -144,6 +144,22 @@ def test_star_clusters(spark):
     assert {r.v: r.center for r in companies.star(v, e).collect()} == {"a": "a", "b": "c", "c": "c", "d": "c", "e": "e", "f": "f"}
 
 
+def test_candidates_match_brute_force(spark):
+    r = random.Random(11)
+    swap = lambda w, i: w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+    words = ["".join(r.choice(["b", "d", "k", "l", "m", "n", "r", "s", "t", "v"]) + r.choice("aeiou") for _ in range(4)) for _ in range(30)]
+    firm = [tuple(words[i : i + 3]) for i in range(0, 30, 3)] + [("northern", "pacific", "railways")]
+    typed = [("notrhern", "pacfiic", "railwasy")] + [tuple(swap(w, r.randrange(1, 6)) for w in r.sample(f, 3)) for f in firm for _ in range(4)]
+    typed += [tuple(w[:i] + "z" + w[i + 1 :] for w, i in zip(f, (1, 3, 5), strict=True)) for f in firm]
+    shapes = lambda cores: spark.createDataFrame([(list(c), "".join(c), "".join(c[1:] + c[:1]), names.skeleton(c)) for c in cores], "core array<string>, joined string, turned string, bones string")
+    keys = minhash.band_keys(companies.Q, companies.ROWS, minhash.bands_for(companies.SIMILARITY, companies.ROWS, companies.RECALL))
+    bands = {tuple(x.core): set(x.k) for x in shapes({*firm, *typed}).select("core", keys("joined").alias("k")).collect()}
+    meet = lambda a, b: bands[a] & bands[b] or sorted("".join(a)) == sorted("".join(b))
+    want = {(a, b) for a in typed for b in firm if meet(a, b) and names.monge_elkan(a, b, companies.EDITS) >= companies.LEAST}
+    got = {(tuple(x.l_core), tuple(x.r_core)) for x in companies.candidates(shapes({*typed}), shapes(firm)).collect()}
+    assert got == want and (typed[0], firm[-1]) in got and len(want) > 45
+
+
 def test_consensus_by_majority(spark):
     at = datetime(2024, 1, 1)
     vals = ["Alpha Beta Corp", "Alpha Beta Corp", "Alpha Betta Corp", "Alpha Beta Corp Ltd", "The Alpha Beta"]

@@ -50,12 +50,35 @@ def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
 
+def _most(x: Column, y: Column) -> Column:
+    """The most that two words' similarity can be: a swap is one edit there and two in Levenshtein's distance."""
+    d = F.levenshtein(x, y, 2 * EDITS)
+    return F.when(d < 0, 0.0).otherwise(1 - F.ceil(d / 2) / F.greatest(F.length(x), F.length(y), F.lit(1)))
+
+
+def _within_reach() -> Column:
+    """Whether likeness can reach LEAST for l_core and r_core: whole in some rotation, by consonants, or word by word in any order."""
+
+    def rotated(k: Column) -> Column:
+        n = F.size("r_core")
+        return F.array_join(F.concat(F.slice("r_core", k + 1, n), F.slice("r_core", F.lit(1), k)), "")
+
+    def by_word(a: str, b: str) -> Column:
+        best = F.transform(a, lambda x: F.array_max(F.transform(b, lambda y: _most(x, y))))
+        return F.aggregate(best, F.lit(0.0), lambda total, s: total + s) / F.size(a) >= LEAST - 1e-9
+
+    near = (F.levenshtein("l_joined", "r_joined", 2 * EDITS) >= 0) | (F.levenshtein("l_turned", "r_joined", 2 * EDITS) >= 0) | ((F.col("l_bones") == F.col("r_bones")) & (F.length("l_bones") >= 5))
+    turned = (F.size("r_core") > 1) & F.exists(F.sequence(F.lit(0), F.size("r_core") - 1), lambda k: F.levenshtein("l_joined", rotated(k), 2 * EDITS) >= 0)
+    return near | ((F.size("l_core") == F.size("r_core")) & (F.size("l_core") > 1) & by_word("l_core", "r_core") & by_word("r_core", "l_core")) | turned
+
+
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs (l_core, r_core, like) of differing or equal cores with similarity LEAST or more, found by MinHash banding.
 
     Both sides have distinct rows of core, joined, turned, bones. Cores also
     collide by their consonants and by their letters in sorted order, whose similarity is 1 where vowels are
-    left out or letters swapped. Colliding pairs are bounded by an edit distance inside the JVM, then verified by Monge–Elkan.
+    left out or letters swapped. Colliding pairs whose similarity can't reach LEAST are dropped inside the JVM by
+    an upper bound (see _within_reach), the others verified by Monge–Elkan, so no pair that met is lost.
     """
     keys = band_keys(Q, ROWS, bands_for(SIMILARITY, ROWS, RECALL))
 
@@ -67,8 +90,7 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
 
     a, b = banded(left, "l"), banded(right, "r")
     met = salted_join(a, b, ["band"], "inner", heavy_keys(a, ["band"]), spread=["l_joined"])
-    near = (F.levenshtein("l_joined", "r_joined", 2 * EDITS) >= 0) | (F.levenshtein("l_turned", "r_joined", 2 * EDITS) >= 0) | ((F.col("l_bones") == F.col("r_bones")) & (F.length("l_bones") >= 5))
-    pairs = met.where(near).select("l_core", "r_core").distinct()
+    pairs = met.where(_within_reach()).select("l_core", "r_core").distinct()
     return pairs.withColumn("like", likeness("l_core", "r_core")).where(F.col("like") >= LEAST)
 
 
