@@ -229,6 +229,17 @@ def test_leaks(spark):
     assert leakage.leaks(d, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [leakage.BLOCK_CHARS, 150])
+def test_copies_and_stock(spark, monkeypatch, block):
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", block)
+    stock = "Read the whole passage above with care and then answer in one word."
+    single = "Lacquered barrels stood near Fenwick harbour while idle cranes rusted."
+    items = [(1, ITEM), (2, ITEM.upper()), (3, f"{ITEM} Who was it?"), *[(k, f"{single.replace('Fenwick', w)} {stock}") for k, w in ((4, "Fenwick"), (5, "Garrowby"), (6, "Tolmachev"))]]
+    docs = spark.createDataFrame([(1, f"Intro. {ITEM}"), (2, stock), (3, single)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.leaks(docs, spark.createDataFrame(items, "item_id bigint, text string"), 0.4).collect()}
+    assert {x for x in got if x[0] < 3} == {(1, 1), (1, 2), (1, 3)} and (3, 4) in got
+
+
 def test_distance_matches_a_full_table():
     def full(a, b):
         row = [0] * (len(b) + 1)

@@ -13,6 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import cut
 
 #: Length of the q-grams, width of a diagonal band (neighbours overlap by half).
 Q, BAND = 8, 64
@@ -22,6 +25,8 @@ SHARED, DENSITY = 20, 0.5
 EDITS = 0.25
 #: Least share of an item's words that must stand in a document.
 COVERAGE = 0.4
+#: Sentences that the same items share are no stock but copies of an item if they are this share or more of each one's words, besides those shared otherwise.
+COPY = 0.8
 #: Characters of items that one index holds; more items are worked in blocks, so that what is broadcast stays bounded.
 BLOCK_CHARS = 4_000_000
 
@@ -86,17 +91,12 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
 
 
 class Index:
-    """Q-grams of the items' sentences. Sentences that stand in several items are stock and left out."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        parts = [(i, s) for i, t in items for s in re.split(r"(?<=[.?!])\s+", t or "")]
-        coded = [(i, codes(f" {s} ")) for i, s in parts]
-        often = Counter(k for k, _ in {(x.tobytes(), i) for i, x in coded})
-        coded = [(i, x) for i, x in coded if len(x) > 2]
-        self.total = Counter()
-        for i, x in coded:
-            self.total[i] += len(x.tobytes().split())
-        coded = [(i, x) for i, x in coded if often[x.tobytes()] == 1]
+    """Q-grams of the items' sentences. An item is its ids, its coded sentences, and those of them that are stock and left out."""
+
+    def __init__(self, items: list[tuple[list, list[str], list[str]]]):
+        self.ids = [ids for ids, _, _ in items]
+        self.total = Counter({i: sum(len(s.split(" ")) - 2 for s in parts) for i, (_, parts, _) in enumerate(items)})
+        coded = [(i, np.frombuffer(s.encode("latin-1"), dtype=np.uint8)) for i, (_, parts, stock) in enumerate(items) for s in parts if s not in set(stock)]
         self.item = [i for i, _ in coded]
         self.text = [x for _, x in coded]
         keys = [grams(x) for x in self.text]
@@ -163,7 +163,7 @@ class Index:
         found: Counter[int] = Counter()
         for s, w in best.items():
             found[self.item[s]] += w
-        return [(i, w / self.total[i]) for i, w in found.items() if w >= coverage * self.total[i]]
+        return [(i, w / self.total[k]) for k, w in found.items() if w >= coverage * self.total[k] for i in self.ids[k]]
 
     def _verify(self, s: int, x: np.ndarray, spos: np.ndarray, dpos: np.ndarray) -> int:
         """Words of sentence s that stand in the region of these shared q-grams, 0 if it doesn't align within the edit budget."""
@@ -183,22 +183,45 @@ class Index:
         return sum(min(n, there[w]) for w, n in Counter(piece.tobytes().split()).items())
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def sentences(texts: pd.Series) -> pd.Series:
+    """The coded sentences of a text, each between blanks; their bytes stand as Latin-1."""
+    return texts.map(lambda t: [x.tobytes().decode("latin-1") for x in (codes(f" {s} ") for s in re.split(r"(?<=[.?!])\s+", t)) if len(x) > 2])
+
+
+def wholes(items: DataFrame) -> DataFrame:
+    """(ids, parts, stock) of items (i, t): items of the same sentences are one with several ids; stock has the sentences that it shares with otherwise different ones.
+
+    Decided over all items: sentences with the same holders are taken together and compared with the words that a holder has alone.
+    """
+    parted = items.select("i", sentences("t").alias("parts")).groupBy("i").agg(F.flatten(F.sort_array(F.collect_list("parts"))).alias("parts")).where("size(parts) > 0")
+    whole = cut(parted.groupBy(F.array_sort("parts").alias("same")).agg(F.sort_array(F.collect_list("i")).alias("ids"), F.min("parts").alias("parts")).select(F.col("ids")[0].alias("w"), "ids", "parts"))
+    said = whole.select("w", F.explode("parts").alias("part")).groupBy("w", "part").agg(F.sum(F.size(F.split(F.trim("part"), " "))).alias("n"))
+    holders = cut(said.groupBy("part").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("w")).alias("who")).where("k > 1"))
+    alone = said.join(holders, "part", "left_anti").groupBy("w").agg(F.sum("n").alias("alone"))
+    shared = said.join(holders, "part").groupBy("k", "who", "w").agg(F.sum("n").alias("n")).join(alone, "w", "left")
+    copied = shared.groupBy("k", "who").agg(F.min(F.col("n") / (F.col("n") + F.coalesce("alone", F.lit(0)))).alias("share")).where(F.col("share") >= COPY)
+    stock = said.join(holders.join(copied, ["k", "who"], "left_anti"), "part").groupBy("w").agg(F.collect_list("part").alias("stock"))
+    return whole.join(stock, "w", "left").select("ids", "parts", F.coalesce("stock", F.array().cast("array<string>")).alias("stock"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, coverage) for each document that holds ``coverage`` or more of an item's words in the item's wording.
 
     Each sentence of an item is sought by itself, so their order is free; a sentence cut off counts by the
-    words that are there. Sentences that several items share are stock and never count as found. The
+    words that are there. Sentences that otherwise different items share are stock and never count as found;
+    copies of an item under several ids are sought once and come out under each. The
     documents are scanned once a block of items, without a shuffle. Null and empty texts hold nothing.
     """
     spark = docs.sparkSession
-    held = items.where(F.col(text).isNotNull()).select(F.col(item_id).alias("i"), F.col(text).alias("t"))
-    size = held.agg(F.sum(F.length("t"))).first()[0] or 0
+    held = cut(wholes(items.where(F.col(text).isNotNull()).select(F.col(item_id).alias("i"), F.col(text).alias("t"))))
+    size = held.agg(F.sum(F.length(F.array_join("parts", "")))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_CHARS))
     out_type = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, coverage double"
     pairs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= SHARED)
     out = None
     for b in range(blocks):
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in held.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).sort("i").collect()]))  # about BLOCK_CHARS characters
+        index = spark.sparkContext.broadcast(Index([tuple(r) for r in held.where(F.pmod(F.xxhash64("ids"), F.lit(blocks)) == b).sort("ids").collect()]))  # about BLOCK_CHARS characters
 
         def scan(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for pdf in batches:
