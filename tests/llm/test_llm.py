@@ -240,6 +240,14 @@ def test_copies_and_stock(spark, monkeypatch, block):
     assert {x for x in got if x[0] < 3} == {(1, 1), (1, 2), (1, 3)} and (3, 4) in got
 
 
+def test_short_sentences(spark):
+    items = {1: "A. Yes. B. No. C. Both. D. Neither. E. Unsure.", 2: "Who paid Pell?", 3: "Why? He fled. Where? To Sundmoor. Who? Pell."}
+    docs = {1: f"Quiz: {items[1]} End.", 2: "so who paid  Pell", 3: f"Intro {items[3]}", 4: "Yes. No. Pell was paid by nobody. Who?"}
+    frame = lambda rows, c: spark.createDataFrame([*rows.items()], f"{c} bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_distance_matches_a_full_table():
     def full(a, b):
         row = [0] * (len(b) + 1)

@@ -21,6 +21,8 @@ from ..session import cut
 Q, BAND = 8, 64
 #: A region needs this many shared q-grams, and this share of the q-grams that it spans. By the lemma one edit undoes at most Q of them, so a region of length n that passes for sure has up to (1 - DENSITY) * n / Q scattered edits, more if they fall on the same words.
 SHARED, DENSITY = 20, 0.5
+#: A passage shorter than this is joined with its neighbours in the item; one that stays shorter needs all of its q-grams.
+SHORT = SHARED + Q - 1
 #: Most edits of an aligned region, as a share of its length.
 EDITS = 0.25
 #: Least share of an item's words that must stand in a document.
@@ -90,16 +92,34 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return int(min(row.min(), most + 1))
 
 
+def passages(parts: list[str], stock: set[str]) -> list[str]:
+    """The sentences of an item that are no stock; short neighbours, as answer options are, are joined into one, a short last one with the one before."""
+    out: list[list[str]] = [[]]  # a stock sentence parts what is joined
+    for s in parts:
+        if s in stock:
+            out.append([])
+        elif out[-1] and len(out[-1][-1]) < SHORT:
+            out[-1][-1] += s[1:]  # one blank between them
+        else:
+            out[-1].append(s)
+    for run in out:
+        if len(run) > 1 and len(run[-1]) < SHORT:
+            run[-2:] = [run[-2] + run[-1][1:]]
+    return [s for run in out for s in run]
+
+
 class Index:
     """Q-grams of the items' sentences. An item is its ids, its coded sentences, and those of them that are stock and left out."""
 
     def __init__(self, items: list[tuple[list, list[str], list[str]]]):
         self.ids = [ids for ids, _, _ in items]
         self.total = Counter({i: sum(len(s.split(" ")) - 2 for s in parts) for i, (_, parts, _) in enumerate(items)})
-        coded = [(i, np.frombuffer(s.encode("latin-1"), dtype=np.uint8)) for i, (_, parts, stock) in enumerate(items) for s in parts if s not in set(stock)]
+        coded = [(i, np.frombuffer(s.encode("latin-1"), dtype=np.uint8)) for i, (_, parts, stock) in enumerate(items) for s in passages(parts, set(stock))]
         self.item = [i for i, _ in coded]
         self.text = [x for _, x in coded]
         keys = [grams(x) for x in self.text]
+        self.need = np.array([min(SHARED, max(len(k), 1)) for k in keys], dtype=np.int64)
+        self.least = int(self.need.min(initial=SHARED))
         blanks = [np.concatenate(([0], np.cumsum(x == _SPACE))) for x in self.text]
         self.offset = np.concatenate(([0], np.cumsum([len(x) for x in blanks])))[:-1].astype(np.int64)
         self.blanks = np.concatenate(blanks) if blanks else np.zeros(0, dtype=int)
@@ -128,12 +148,12 @@ class Index:
         if not len(k) or not len(self.keys):
             return []
         hit = np.flatnonzero(self.filter[self._slot(k)])
-        if len(hit) < SHARED:
+        if len(hit) < self.least:
             return []
         at = np.minimum(np.searchsorted(self.keys, k[hit]), len(self.keys) - 1)
         same = self.keys[at] == k[hit]
         hit, at = hit[same], at[same]
-        if len(hit) < SHARED:
+        if len(hit) < self.least:
             return []
         count = self.start[at + 1] - self.start[at]
         first = np.repeat(self.start[at] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
@@ -148,7 +168,7 @@ class Index:
             n = np.diff(lead, append=len(order))
             lo, hi = np.minimum.reduceat(spos[order], lead), np.maximum.reduceat(spos[order], lead) + Q
             s = sid[order[lead]]
-            ok = np.flatnonzero((n >= SHARED) & (n >= DENSITY * (hi - lo - Q + 1)))
+            ok = np.flatnonzero((n >= self.need[s]) & (n >= DENSITY * (hi - lo - Q + 1)))
             words = self.blanks[self.offset[s[ok]] + hi[ok]] - self.blanks[self.offset[s[ok]] + lo[ok]] + 1
             for j, w in zip(ok.tolist(), words.tolist(), strict=True):
                 regions.append((int(s[j]), order[lead[j] : lead[j] + n[j]]))
@@ -208,7 +228,8 @@ def wholes(items: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, coverage) for each document that holds ``coverage`` or more of an item's words in the item's wording.
 
-    Each sentence of an item is sought by itself, so their order is free; a sentence cut off counts by the
+    Each sentence of an item is sought by itself, so their order is free; short ones are sought joined with their
+    neighbours, and if the whole is short all of it must be there, and an item under Q characters is never found; a sentence cut off counts by the
     words that are there. Sentences that otherwise different items share are stock and never count as found;
     copies of an item under several ids are sought once and come out under each. The
     documents are scanned once a block of items, without a shuffle. Null and empty texts hold nothing.
@@ -218,7 +239,7 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, doc_id:
     size = held.agg(F.sum(F.length(F.array_join("parts", "")))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_CHARS))
     out_type = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, coverage double"
-    pairs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= SHARED)
+    pairs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0)
     out = None
     for b in range(blocks):
         index = spark.sparkContext.broadcast(Index([tuple(r) for r in held.where(F.pmod(F.xxhash64("ids"), F.lit(blocks)) == b).sort("ids").collect()]))  # about BLOCK_CHARS characters
