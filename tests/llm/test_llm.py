@@ -61,6 +61,14 @@ def test_round_trip(text, read_as, layers):
         assert fixed == text and whole
 
 
+@pytest.mark.parametrize("deep", [5, 7])
+def test_many_layers(deep):
+    bad = TEXTS[0]
+    for _ in range(deep):
+        bad = bad.encode("utf-8").decode("latin-1")
+    assert encoding.repair(bad) == (TEXTS[0], deep, True, True)
+
+
 def test_sound_texts():
     for t in [*TEXTS, "Güte „Å“, Ø 12 × 3 mm ± 5 %", "SITUAÇÃO DA PRODUÇÃO: AMANHÃ NÃO", "Schaltplan: ├─ Ofen ┬ Pumpe └─ Filter", "grade Γ-7, √2 µm, ∂ ≤ 0,5", "café &quot;x&quot; &#246;", "", "plain", "Партия «Ђ», знак «Г‑2»."]:
         assert encoding.repair(t)[0] == t and not encoding.repair(t)[2], t

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 READ_AS = ("cp1252+", "latin-1", "mac_roman", "cp437", "cp850", "cp1250+", "cp1251+", "cp866", "koi8-r", "iso8859-2")
 #: One-byte encodings in which the text may have been written, beside UTF-8.
 WRITTEN_AS = ("cp1252", "cp1250", "cp1251", "koi8-r", "cp866", "mac_roman", "iso8859-2")
-#: Most layers of damage that are undone one after the other.
-LAYERS = 4
 #: Cost of one character: (1) lost or control character, (2) a symbol or foreign letter inside a word.
 LOST, ODD = 3.0, 2.0
 
@@ -224,15 +222,16 @@ def _tables() -> list[tuple[frozenset[str], dict[int, str]]]:
 
 def repair(text: str) -> tuple[str, int, bool, bool]:
     """(text, layers undone, garbled, whole): what came out, and whether nothing garbled is left in it."""
-    layers, seen = 0, text
-    while layers < LAYERS:
+    layers, seen, before = 0, text, {text}
+    while True:
         new = _undo_utf8(seen)
         if new == seen:
             new = _undo_single(seen)
         if new == seen:  # perhaps only a part was read wrongly
             new = "".join(_undo_single(p) for p in re.split(r"(\n+|(?<=[.!?;:])\s+)", seen))
-        if new == seen:
+        if new in before:  # nothing to undo, or going round in circles
             break
+        before.add(new)
         seen, layers = new, layers + 1
     lost = bool(re.search("[�\x80-\x9f]", seen)) or bool(re.search(r"(?<![A-ZÀ-Þ])(?:Ã[ ­]|Â[ ­](?=[a-z0-9]))", seen))
     return seen, layers, layers > 0 or lost, not lost
