@@ -28,6 +28,12 @@ def test_query(spark, con, name):
         assert ALL[name](spark, SF).count() > 0
 
 
+def test_all_snapshots_are_stored(spark, con):
+    got = graph_queries.QUERIES["snapshot_upsert_all"](spark, SF)
+    stored = con.execute("SELECT count(*) FROM node_snapshots WHERE id NOT IN (SELECT id FROM nodes)").fetchone()[0]
+    assert got.count() == stored + con.execute("SELECT count(*) FROM nodes").fetchone()[0]
+
+
 def column(spark, values, expr):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, c string").orderBy("i")
     return [r[0] for r in rows.select(expr).collect()]

@@ -244,6 +244,12 @@ def snapshot_upsert(s, d):
     return merge.snapshot_upsert(old, table(s, d, "nodes").select("id", "recommendation"), ["id"])
 
 
+@query("SELECT id, recommendation FROM node_snapshots WHERE id IS NULL OR id NOT IN (SELECT id FROM nodes WHERE id IS NOT NULL) UNION ALL SELECT id, recommendation FROM nodes")
+def snapshot_upsert_all(s, d):
+    """Every stored snapshot, whenever it was loaded."""
+    return merge.snapshot_upsert(table(s, d, "node_snapshots").select("id", "recommendation"), table(s, d, "nodes").select("id", "recommendation"), ["id"])
+
+
 @query("SELECT DISTINCT ticker FROM nodes WHERE ticker <> ''")
 def distinct_tickers(s, d):
     return table(s, d, "nodes").where("ticker <> ''").select("ticker").distinct()
