@@ -3,198 +3,230 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
+from xxhash import xxh3_64_intdigest
 
 from ..operators.skew import heavy_keys, salted_join
 from ..session import cut
 from .minhash import band_keys, bands_for
-from .names import monge_elkan, osa, parse, skeleton, ticker_of
+from .names import CONSONANTS, FORMS, letters, lexicon_of, monge_elkan, osa, parse, skeleton, slack, ticker_of
 
 #: Padded q-grams of the joined core words; values to a band; the Jaccard similarity (two edits in a dozen letters) and the recall that the bands are tuned to.
 Q, ROWS, SIMILARITY, RECALL = 2, 4, 0.5, 0.97
 #: Least Monge–Elkan similarity of names that can mean one company, and the most edits of a word in it.
 LEAST, EDITS = 0.8, 2
+#: A word describes and does not name if it stands in this share of the distinct names, and in so many of them.
+COMMON, SEVERAL = 1 / 200, 5
 
-_NAME = T.StructType([T.StructField("core", T.ArrayType(T.StringType())), *[T.StructField(c, T.StringType()) for c in ("joined", "turned", "bones", "trade", "tick")]])
+_NAME = T.StructType([*[T.StructField(c, T.StringType()) for c in ("words", "trade", "tick")], T.StructField("bits", T.LongType()), T.StructField("slack", T.IntegerType())])
 
 
-@F.pandas_udf(_NAME)
-def parsed(names: pd.Series) -> pd.DataFrame:
-    out = []
-    for n in names:
-        core, trade = parse(n) if n else ((), "")
-        out.append((list(core), "".join(core), "".join(core[1:] + core[:1]), skeleton(core), trade, ticker_of(n)))
-    return pd.DataFrame(out, columns=["core", "joined", "turned", "bones", "trade", "tick"])
+def descriptors(names: DataFrame, c: str, share: float = COMMON, least: int = SEVERAL) -> tuple[str, ...]:
+    """The words that describe companies rather than name them, learned as those that many different names have in common.
 
+    Legal forms aside. The names have so many words each on average, divided by ``share``, as such words at most.
+    """
+    distinct = names.select(F.lower(c).alias("name")).where("name is not null").distinct()
+    words = F.filter(F.array_distinct(F.split("name", r"[^\p{L}\p{N}]+")), lambda w: (F.length(w) >= 3) & ~w.isin(*sorted(FORMS)))
+    counts = distinct.select(F.explode(F.concat(F.array(F.lit("")), words)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))  # '' counts the names
+    every = counts.where("word = ''").select("n").scalar()
+    return tuple(sorted(r["word"] for r in counts.where((F.col("word") != "") & (F.col("n") >= least) & (F.col("n") >= every * F.lit(share))).select("word").collect()))
 
-@F.pandas_udf(T.StringType())
-def ticker(texts: pd.Series) -> pd.Series:
-    return texts.map(ticker_of)
 
+def parsed(known: tuple[str, ...]):
+    """Arrow UDF: a name to its core words (between blanks), descriptors, ticker, and the sketch of its letters."""
 
-@F.pandas_udf(T.DoubleType())
-def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Monge–Elkan similarity of core words; a word without vowels equals the words of its consonants."""
+    @F.pandas_udf(_NAME)
+    def parse_names(names: pd.Series) -> pd.DataFrame:
+        lexicon, out = lexicon_of(known), []
+        for n in names:
+            core, trade = parse(n, lexicon) if n else ((), "")
+            out.append((" ".join(core), trade, ticker_of(n), letters(core), slack(core, LEAST, EDITS)))
+        return pd.DataFrame(out, columns=["words", "trade", "tick", "bits", "slack"])
 
-    def one(x, y) -> float:
-        x, y = tuple(x), tuple(y)
-        s = monge_elkan(x, y, EDITS)
-        if s < 1 and skeleton(x) == skeleton(y) and len(skeleton(x)) >= 5 and "".join(x) != "".join(y):
-            # 1 for consonants alone, less the more vowels differ
-            s = max(s, 0.97 if min(len("".join(x)), len("".join(y))) < max(len("".join(x)), len("".join(y))) else 1 - osa("".join(x), "".join(y), 4) / max(len("".join(x)), 1))
-        return s
+    return parse_names
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
-
-
-def _most(x: Column, y: Column) -> Column:
-    """The most that two words' similarity can be: a swap is one edit there and two in Levenshtein's distance."""
-    d = F.levenshtein(x, y, 2 * EDITS)
-    return F.when(d < 0, 0.0).otherwise(1 - F.ceil(d / 2) / F.greatest(F.length(x), F.length(y), F.lit(1)))
 
+@F.pandas_udf(T.StringType())
+def ticker(texts: pd.Series) -> pd.Series:
+    return texts.map(ticker_of)
 
-def _within_reach() -> Column:
-    """Whether likeness can reach LEAST for l_core and r_core: whole in some rotation, by consonants, or word by word in any order."""
 
-    def rotated(k: Column) -> Column:
-        n = F.size("r_core")
-        return F.array_join(F.concat(F.slice("r_core", k + 1, n), F.slice("r_core", F.lit(1), k)), "")
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def whole_keys(words: pd.Series) -> pd.Series:
+    """Two more keys of a core: its consonants, and all its letters in sorted order."""
 
-    def by_word(a: str, b: str) -> Column:
-        best = F.transform(a, lambda x: F.array_max(F.transform(b, lambda y: _most(x, y))))
-        return F.aggregate(best, F.lit(0.0), lambda total, s: total + s) / F.size(a) >= LEAST - 1e-9
+    def one(core: str) -> list[int]:
+        tokens = tuple(core.split(" "))
+        k = skeleton(tokens)
+        return [xxh3_64_intdigest(x) - (1 << 63) for x in ("c" + k, "l" + "".join(sorted("".join(tokens))))] if len(k) >= 5 else []
 
-    near = (F.levenshtein("l_joined", "r_joined", 2 * EDITS) >= 0) | (F.levenshtein("l_turned", "r_joined", 2 * EDITS) >= 0) | ((F.col("l_bones") == F.col("r_bones")) & (F.length("l_bones") >= 5))
-    turned = (F.size("r_core") > 1) & F.exists(F.sequence(F.lit(0), F.size("r_core") - 1), lambda k: F.levenshtein("l_joined", rotated(k), 2 * EDITS) >= 0)
-    return near | ((F.size("l_core") == F.size("r_core")) & (F.size("l_core") > 1) & by_word("l_core", "r_core") & by_word("r_core", "l_core")) | turned
+    return words.map(one)
 
 
-def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (l_core, r_core, like) of differing or equal cores with similarity LEAST or more, found by MinHash banding.
+@F.pandas_udf(T.DoubleType())
+def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Monge–Elkan similarity of core words; a word without vowels equals the words of its consonants."""
 
-    Both sides have distinct rows of core, joined, turned, bones. Cores also
-    collide by their consonants and by their letters in sorted order, whose similarity is 1 where vowels are
-    left out or letters swapped. Colliding pairs whose similarity can't reach LEAST are dropped inside the JVM by
-    an upper bound (see _within_reach), the others verified by Monge–Elkan, so no pair that met is lost.
-    """
-    keys = band_keys(Q, ROWS, bands_for(SIMILARITY, ROWS, RECALL))
+    def one(x: tuple[str, ...], y: tuple[str, ...]) -> float:
+        s = monge_elkan(x, y, EDITS)
+        if s < 1 and len(k := skeleton(x)) >= 5 and k == skeleton(y):
+            p, q = "".join(x), "".join(y)  # nearly 1 for consonants alone, less the more vowels differ
+            s = max(s, 0.97 if len(p) != len(q) else 1 - osa(p, q, 4) / max(len(p), 1))
+        return round(s, 9)
 
-    def banded(df: DataFrame, side: str) -> DataFrame:
-        letters = F.array_join(F.array_sort(F.split("joined", "")), "")
-        whole = F.when(F.length("bones") >= 5, F.array(F.xxhash64("bones"), F.xxhash64(letters, F.lit(1)))).otherwise(F.array().cast("array<long>"))
-        all_keys = F.array_distinct(F.concat(keys("joined"), whole))
-        return df.select(F.explode(all_keys).alias("band"), *[F.col(c).alias(f"{side}_{c}") for c in ("core", "joined", "turned", "bones")])
+    return pd.Series([one(tuple(x.split(" ")), tuple(y.split(" "))) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    a, b = banded(left, "l"), banded(right, "r")
-    met = salted_join(a, b, ["band"], "inner", heavy_keys(a, ["band"]), spread=["l_joined"])
-    pairs = met.where(_within_reach()).select("l_core", "r_core").distinct()
-    return pairs.withColumn("like", likeness("l_core", "r_core")).where(F.col("like") >= LEAST)
 
+def candidates(vertices: DataFrame, keep: list[str]) -> DataFrame:
+    """Pairs (l, r, like, l_*, r_* for each of ``keep``) of vertices whose cores are alike by LEAST or more, found by MinHash banding.
 
-def star(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Star clustering: (v, center) for every vertex; vertices have v and rank (distinct, lower is better), edges u, v, like, both ways.
+    ``vertices``: v (distinct), words, trade, face, bits, slack. Of a pair r is a face; of two faces either order comes out,
+    but only one. Descriptors that both have must be the same. Beside their bands cores also meet by their consonants and
+    by their letters in sorted order. Pairs whose letters differ by more than the edits that LEAST allows, and not in vowels
+    alone, do not count as alike; that is told from two numbers, so only v and they are spread over the bands. The others are
+    verified by Monge–Elkan. No pair that met is lost otherwise.
+    """
+    keys = band_keys(Q, ROWS, bands_for(SIMILARITY, ROWS, RECALL))
+    joined = F.regexp_replace("words", " ", "")
+    spread = cut(vertices.select("v", "face", "bits", "slack", F.when(F.col("trade") != "", F.xxhash64("trade")).otherwise(0).alias("th"), F.array_distinct(F.concat(keys(joined), whole_keys("words"))).alias("keys")))
+    banded = spread.select(F.explode("keys").alias("band"), "v", "face", "bits", "slack", "th")
+    faces = banded.where("face").select("band", *[F.col(c).alias(f"r_{c}") for c in ("v", "bits", "slack", "th")])
+    differ = F.col("bits").bitwiseXOR(F.col("r_bits"))
+    near = (F.bit_count(differ) <= F.greatest("slack", "r_slack")) | (differ.bitwiseAND(F.lit(CONSONANTS)) == 0)
+    compatible = (F.col("th") == F.col("r_th")) | (F.col("th") == 0) | (F.col("r_th") == 0)
+    once = (F.col("v") != F.col("r_v")) & (~F.col("face") | (F.col("v") < F.col("r_v")))
+    met = salted_join(banded, faces.hint("merge"), ["band"], "inner", heavy_keys(faces, ["band"]), near & compatible & once, spread=["v"])
+    side = lambda s: vertices.select(F.col("v").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("words", *keep)]).hint("merge")
+    pairs = met.select(F.col("v").alias("l"), F.col("r_v").alias("r")).distinct().join(side("l"), "l").join(side("r"), "r")
+    return pairs.withColumn("like", likeness("l_words", "r_words")).where(F.col("like") >= LEAST).drop("l_words", "r_words")
+
+
+def star(links: DataFrame) -> DataFrame:
+    """Star clustering: (v, center) of every vertex that has a link; ``links`` have u, v, like, u_rank, v_rank, both ways (distinct ranks, lower is better).
 
     A vertex is a center if none of its better-ranked neighbours is one; others join the likest center
-    beside them. Decided in rounds, each cut by a checkpoint; only vertices with edges take part.
+    beside them. Decided in rounds, each cut by a checkpoint.
     """
-    links = edges.join(vertices.withColumnsRenamed({"v": "u", "rank": "u_rank"}), "u").join(vertices.withColumnRenamed("rank", "v_rank"), "v")
-    links = cut(links.select("u", "v", "like", "u_rank", "v_rank"))
-    state = cut(links.groupBy("v").agg(F.lit(0).alias("s")))  # 0 open, 1 center, 2 satellite
-    while state.where("s = 0").limit(1).count():
-        seen = links.join(state.withColumnsRenamed({"v": "u", "s": "u_s"}), "u")
-        facts = seen.groupBy("v").agg(F.max((F.col("u_s") == 1) & (F.col("u_rank") < F.col("v_rank"))).alias("taken"), F.max((F.col("u_s") == 0) & (F.col("u_rank") < F.col("v_rank"))).alias("waits"))
-        state = cut(state.join(facts, "v", "left").select("v", F.when(F.col("s") > 0, F.col("s")).when(F.col("taken"), 2).when(F.col("waits"), 0).otherwise(1).alias("s")))
-    centers = state.where("s = 1").select(F.col("v").alias("u"))
-    best = links.join(centers, "u").join(state.where("s = 2").select("v"), "v").groupBy("v").agg(F.min_by("u", F.struct((-F.col("like")).alias("like"), "u_rank")).alias("center"))
-    return vertices.select("v").join(best, "v", "left").select("v", F.coalesce("center", "v").alias("center"))
+    watch, better = Observation(), F.col("u_rank") < F.col("v_rank")
+    seen = lambda d: cut(d.observe(watch, F.count(F.when(F.col("s") == 0, 1)).alias("open")))
+    state = seen(links.groupBy("v").agg(F.when(F.max(better), 0).otherwise(1).alias("s")))  # 0 open, 1 center, 2 satellite
+    beside = lambda state: links.join(state.select(F.col("v").alias("u"), F.col("s").alias("u_s")).hint("merge"), "u")
+    while watch.get["open"]:
+        facts = beside(state).groupBy("v").agg(F.max((F.col("u_s") == 1) & better).alias("taken"), F.max((F.col("u_s") == 0) & better).alias("waits"))
+        watch = Observation()
+        state = seen(state.join(facts.hint("merge"), "v").select("v", F.when(F.col("s") > 0, F.col("s")).when(F.col("taken"), 2).when(F.col("waits"), 0).otherwise(1).alias("s")))
+    likest = F.when(F.col("u_s") == 1, F.struct((-F.col("like")).alias("like"), "u_rank"))  # no two centers are neighbours
+    return beside(state).groupBy("v").agg(F.min_by("u", likest).alias("center")).select("v", F.coalesce("center", "v").alias("center"))
 
 
-def company_groups(nodes: DataFrame, row_id: str = "id") -> DataFrame:
-    """(row_id, group_id, core, trade, tick) for every row: group_id is the smallest id of the company's rows.
-
-    Names are parsed into core words and a trade word; rows of one core and trade form a vertex. Vertices
-    of the same trade whose cores are alike are clustered by stars around the most frequent spelling. A
-    row with the ticker of another company's rows follows the ticker. A name without a trade word goes to
-    the only company of its core, or, where several share it, to the one whose ticker, industry, sector and
-    market cap fit best; with nothing to tell them apart it stays a company of its own. A name without
-    any core (null, blank, only legal forms) is a company of its own unless its ticker tells more.
-    """
+def _vertex(words: str, trade: str, key: str) -> Column:
+    """16 bytes: one for each core and descriptors, one for each ``key`` without a core."""
+    return F.unhex(F.md5(F.when(F.col(words) != "", F.concat_ws("|", words, trade)).otherwise(F.concat(F.lit("#"), key)).cast("binary")))
+
+
+def _rows(nodes: DataFrame, row_id: str, known: tuple[str, ...]) -> DataFrame:
     n = nodes.select(F.col(row_id).alias("row_id"), F.col("name").alias("__name"), ticker("ticker").alias("t"), F.lower("sector").alias("sector"), F.lower("industry").alias("industry"), F.col("market_cap").alias("cap"))
-    p = n.withColumn("p", parsed("__name"))
-    rows = cut(p.select("row_id", "p.core", "p.joined", "p.turned", "p.bones", "p.trade", "t", "sector", "industry", "cap"))
-    named = rows.where("joined <> ''")
-    spelt = named.groupBy("joined", "trade").agg(F.first("core").alias("core"), F.first("turned").alias("turned"), F.first("bones").alias("bones"), F.count(F.lit(1)).alias("n"), F.min("row_id").alias("low"))
-    vertices = cut(spelt.withColumn("v", F.concat_ws("|", "joined", "trade")))
-    cores = vertices.groupBy("core").agg(F.first("joined").alias("joined"), F.first("turned").alias("turned"), F.first("bones").alias("bones"))
-    alike = cut(candidates(cores, cores))
-    full = vertices.where("trade <> ''")
-    pairs = alike.join(full.select(F.col("core").alias("l_core"), "trade", F.col("v").alias("u")), "l_core").join(full.select(F.col("core").alias("r_core"), "trade", "v"), ["r_core", "trade"]).where("u <> v").select("u", "v", "like")
-    numbered = full.select("v", F.struct((-F.col("n")).alias("n"), "low").alias("rank"))
-    stars = star(numbered, pairs)
-    placed = full.join(stars, "v").select("joined", "trade", "center")
-    lone = vertices.where("trade = ''").select("core", "joined")
-    # names without a trade word: all companies with a core as like as any
-    options = alike.join(lone.select(F.col("core").alias("l_core"), "joined"), "l_core").join(full.select(F.col("core").alias("r_core"), "v"), "r_core").join(stars, "v").groupBy("joined", "center").agg(F.max("like").alias("like"))
-    top = options.join(options.groupBy("joined").agg(F.max("like").alias("best")), "joined").where("like >= best - 1e-9").select("joined", "center")
-    of = rows.join(placed, ["joined", "trade"], "left")
+    p = n.withColumn("p", parsed(known)("__name")).select("row_id", "p.words", "p.trade", "p.bits", "p.slack", "t", "sector", "industry", "cap")
+    return cut(p.withColumn("v", _vertex("words", "trade", "row_id")))
+
+
+def _graph(rows: DataFrame, others: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vertices, links): the distinct names of ``rows``, which are nodes, and of ``others`` (v, words, trade, bits, slack, face), and the pairs that are alike."""
+    cols = ["v", "words", "trade", "bits", "slack"]
+    one = rows.select(*cols, F.lit(True).alias("face"), F.lit(False).alias("said"), F.lit(1).alias("node"), "row_id")
+    if others is not None:
+        one = one.unionByName(others.select(*cols, "face", (~F.col("face")).alias("said"), F.lit(0).alias("node"), F.lit(None).cast("bigint").alias("row_id")))
+    vertices = one.where("words <> ''").groupBy("v").agg(*[F.min(c).alias(c) for c in cols[1:]], F.max("face").alias("face"), F.max("said").alias("said"), F.sum("node").alias("n"), F.min("row_id").alias("low"))
+    vertices = cut(vertices.withColumn("rank", F.struct((-F.col("n")).alias("n"), "low")).drop("n", "low"))
+    return vertices, cut(candidates(vertices, ["trade", "rank", "face", "said"]))
+
+
+def _either(links: DataFrame) -> DataFrame:
+    """Each pair both ways: u, v, like and u_* and v_* for trade, rank, face, said."""
+    other = {"l": "r", "r": "l"}
+    way = lambda a: links.select("like", F.col(a).alias("u"), F.col(other[a]).alias("v"), *[F.col(f"{s}_{c}").alias(f"{x}_{c}") for s, x in ((a, "u"), (other[a], "v")) for c in ("trade", "rank", "face", "said")])
+    return way("l").unionByName(way("r"))
+
+
+def _members(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(row_id, v, words, trade, t, group_id, company_trade) for every row; see company_groups."""
+    nodes = _either(links).where("u_rank.n < 0 and v_rank.n < 0")
+    stars = cut(star(cut(nodes.where("u_trade = v_trade").select("u", "v", "like", "u_rank", "v_rank"))))
+    # names without a descriptor: all companies with a core as like as any
+    bare = nodes.where("v_trade = '' and u_trade <> ''").select("v", F.col("u").alias("option"), "like")
+    found = bare.join(stars.select(F.col("v").alias("option"), "center").hint("merge"), "option", "left").groupBy("v", F.coalesce("center", "option").alias("option")).agg(F.max("like").alias("like"))
+    top = found.join(found.groupBy("v").agg(F.max("like").alias("most")).hint("merge"), "v").where("like >= most").select("v", "option")
+    plain = rows.select("row_id", "v", "words", "trade", "t", "sector", "industry", "cap")
+    placed = cut(salted_join(plain, stars.hint("merge"), ["v"], "left", heavy_keys(rows, ["v"]), spread=["row_id"]).withColumn("center", F.coalesce("center", "v")))
     # what is known of each company: its tickers, and its rows' sector, industry and cap
-    facts = of.where("center is not null")
-    owner = facts.where("t <> ''").groupBy("t", "center").agg(F.count(F.lit(1)).alias("n")).groupBy("t").agg(F.max_by("center", F.struct("n", "center")).alias("by_ticker"))
-    traits = facts.groupBy("center").agg(F.max("cap").alias("hi"), F.min(F.when(F.col("cap") > 0, F.col("cap"))).alias("lo"), F.max(F.struct(F.length("industry") > 3, "industry")).alias("i"), F.max(F.struct(F.length("sector") > 3, "sector")).alias("s"))
-    loose = rows.where("trade = ''").join(owner, "t", "left").join(top, "joined", "left").join(traits, "center", "left")
+    full = F.col("trade") != ""
+    owner = placed.where("t <> '' and words <> ''").groupBy("t", "center").agg(F.count(F.lit(1)).alias("n"), F.max(full).alias("full")).groupBy("t").agg(F.max_by(F.struct("center", "full"), F.struct("full", "n", "center")).alias("of"))
+    traits = placed.where(full).groupBy(F.col("center").alias("option")).agg(F.max("cap").alias("hi"), F.min(F.when(F.col("cap") > 0, F.col("cap"))).alias("lo"), F.max(F.struct(F.length("industry") > 3, "industry")).alias("i"), F.max(F.struct(F.length("sector") > 3, "sector")).alias("s"))
+    loose = placed.where("trade = '' and words <> ''")
     fit = (
-        F.when(F.col("center") == F.col("by_ticker"), 8).otherwise(0) + F.when(F.col("industry") == F.col("i.industry"), 2).otherwise(0)
-        + F.when(F.col("sector") == F.col("s.sector"), 1).otherwise(0) + F.when((F.col("cap") > F.col("lo") / 1.2) & (F.col("cap") < F.col("hi") * 1.2), 2).otherwise(0)
+        F.when(F.col("industry") == F.col("i.industry"), 2).otherwise(0) + F.when(F.col("sector") == F.col("s.sector"), 1).otherwise(0)
+        + F.when((F.col("cap") > F.col("lo") / 1.2) & (F.col("cap") < F.col("hi") * 1.2), 2).otherwise(0)
     )
-    judged = loose.withColumn("fit", fit).withColumn("most", F.max("fit").over(W.partitionBy("row_id"))).groupBy("row_id").agg(
-        F.first("joined").alias("joined"), F.first("by_ticker").alias("by_ticker"), F.count("center").alias("k"),
-        F.max_by("center", F.struct("fit", "center")).alias("best"), F.max("fit").alias("f"), F.count(F.when(F.col("fit") == F.col("most"), 1)).alias("ties"),
-    )
-    clear = (F.col("k") == 1) | ((F.col("k") > 1) & (F.col("f") > 0) & (F.col("ties") == 1))
-    own = F.when(F.col("joined") == "", F.concat(F.lit("#"), F.col("row_id"))).otherwise(F.concat("joined", F.lit("|")))
-    settled = judged.select("row_id", F.coalesce("by_ticker", F.when(clear, F.col("best")), own).alias("settled"))
-    final = of.join(settled, "row_id", "left").join(owner, "t", "left")
-    member = cut(final.select("row_id", "core", "joined", "turned", "bones", "trade", "t", F.coalesce("by_ticker", "settled", "center").alias("company")))
+    judged = salted_join(loose, top.join(traits.hint("merge"), "option").hint("merge"), ["v"], "inner", heavy_keys(loose, ["v"]), spread=["row_id"]).withColumn("fit", fit)
+    judged = judged.groupBy("row_id").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("fit", "option")).alias("hi"), F.min(F.struct((-F.col("fit")).alias("fit"), "option")).alias("lo"))
+    settled = judged.where("k = 1 or (hi.fit > 0 and hi.option = lo.option)").select("row_id", F.col("hi.option").alias("settled"))
+    chosen = salted_join(placed, owner.hint("merge"), ["t"], "left", heavy_keys(placed, ["t"]), spread=["row_id"]).join(settled.hint("merge"), "row_id", "left")
+    member = cut(chosen.select("row_id", "v", "words", "trade", "t", F.coalesce(F.when(F.col("of.full"), F.col("of.center")), "settled", "of.center", "center").alias("company")))
     ids = member.groupBy("company").agg(F.min("row_id").alias("group_id"), F.max("trade").alias("company_trade"))
-    return salted_join(member, ids, ["company"], "inner", heavy_keys(member, ["company"]), spread=["row_id"]).drop("company")
+    return salted_join(member, ids.hint("merge"), ["company"], "inner", heavy_keys(member, ["company"]), spread=["row_id"]).drop("company")
+
+
+def company_groups(nodes: DataFrame, row_id: str = "id") -> DataFrame:
+    """(row_id, group_id) and v, trade, t, company_trade for every row: group_id is the smallest id of the company's rows.
+
+    Names are parsed into core words and descriptors (see ``descriptors``); rows of one core and the same descriptors
+    form a vertex. Vertices of the same descriptors, or of none, whose cores are alike are clustered by stars around the
+    most frequent spelling. A row with the ticker of another company's rows follows the ticker. A name without
+    descriptors goes to the only company of its core that has some, or, where several share it, to the one whose industry,
+    sector and market cap fit best; with nothing to tell them apart it stays in its own cluster. A name without
+    any core (null, blank) is a company of its own unless its ticker tells more.
+    """
+    rows = _rows(nodes, row_id, descriptors(nodes, "name"))
+    return _members(rows, _graph(rows)[1])
 
 
 def link_mentions(mentions: DataFrame, text: str, nodes: DataFrame, aliases: DataFrame) -> DataFrame:
     """(text, group_id, how, like) for each distinct text that means a company of ``nodes``; see company_groups for the ids.
 
     A text means a company by a ticker that it states, by the first hit of the alias list, or by its
-    name: the likest name in the MinHash candidates whose trade word is the same, or that of the only such
-    company where the text names none. Texts that fit several companies equally stay out, as do null and
+    name: the likest name in the MinHash candidates whose descriptors are the same, or that of the only such
+    company where the text has none. Texts that fit several companies equally stay out, as do null and
     blank ones.
     """
-    groups = cut(company_groups(nodes))
-    tickers = groups.where("t <> ''").groupBy("t").agg(F.min("group_id").alias("group_id"))
-    first = aliases.where("query_text is not null and symbol is not null").groupBy("query_text").agg(F.min_by("symbol", F.struct("hit_rank", "symbol")).alias("symbol"))
-    hits = first.select("query_text", ticker("symbol").alias("t")).join(tickers, "t").withColumn("p", parsed("query_text"))
-    trades = groups.groupBy("group_id").agg(F.max("company_trade").alias("company_trade"))
-    by_alias = hits.join(trades, "group_id").select("p.core", "p.joined", "p.turned", "p.bones", "group_id", F.when(F.col("p.trade") != "", F.col("p.trade")).otherwise(F.col("company_trade")).alias("trade"), F.lit(1).alias("alias"))
-    by_name = groups.where("joined <> ''").select("core", "joined", "turned", "bones", "group_id", F.col("company_trade").alias("trade"), F.lit(0).alias("alias"))
-    faces = cut(by_name.unionByName(by_alias).where("joined <> ''").groupBy("joined", "group_id", "trade").agg(F.first("core").alias("core"), F.first("turned").alias("turned"), F.first("bones").alias("bones"), F.min("alias").alias("alias")))
-
-    distinct = mentions.select(F.col(text).alias("text")).where(F.col("text").rlike(r"(?U)\S")).distinct()
-    m = cut(distinct.withColumn("p", parsed("text")).select("text", "p.*"))
-    stated = m.join(tickers, m["tick"] == tickers["t"]).select("text", "group_id", F.lit("ticker").alias("how"), F.lit(1.0).alias("like"))
-    shapes = lambda df: df.where("joined <> ''").groupBy("core").agg(F.first("joined").alias("joined"), F.first("turned").alias("turned"), F.first("bones").alias("bones"))
-    alike = candidates(shapes(m), shapes(faces))
-    met = m.select("text", F.col("core").alias("l_core"), F.col("trade").alias("said")).join(alike, "l_core").join(faces.select(F.col("core").alias("r_core"), "group_id", "trade", "alias"), "r_core")
-    fits = met.where((F.col("said") == "") | (F.col("said") == F.col("trade"))).groupBy("text", "group_id").agg(F.max(F.struct("like", (1 - F.col("alias")).alias("own"))).alias("s"))
-    best = fits.withColumn("like", F.col("s.like")).withColumn("most", F.max("like").over(W.partitionBy("text"))).where("like >= most - 1e-9")
-    named = best.groupBy("text").agg(F.max("group_id").alias("group_id"), F.max("like").alias("like"), F.count(F.lit(1)).alias("k")).where("k = 1").select("text", "group_id", F.lit("name").alias("how"), "like")
-    both = stated.unionByName(named)
-    order: Column = F.struct((F.col("how") == "ticker").alias("t"), "like")
-    return both.groupBy("text").agg(F.max_by("group_id", order).alias("group_id"), F.max_by("how", order).alias("how"), F.max("like").alias("like"))
+    known = descriptors(nodes, "name")
+    rows = _rows(nodes, "id", known)
+    said = mentions.select(F.col(text).alias("text"), F.lit(None).cast("string").alias("symbol")).where(F.col("text").rlike(r"(?U)\S")).distinct()
+    first = aliases.where("query_text is not null and symbol is not null").groupBy(F.col("query_text").alias("text")).agg(F.min_by("symbol", F.struct("hit_rank", "symbol")).alias("symbol"))
+    texts = said.unionByName(first).withColumn("p", parsed(known)("text")).select("text", "p.*", ticker("symbol").alias("t"), F.col("symbol").isNotNull().alias("face"))
+    texts = cut(texts.withColumn("v", _vertex("words", "trade", "text")))
+    vertices, links = _graph(rows, texts)
+    groups = cut(_members(rows, links))
+    tickers = groups.where("t <> ''").groupBy("t").agg(F.min("group_id").alias("group_id"), F.max("company_trade").alias("company_trade"))
+    by_alias = texts.where("face and words <> ''").join(tickers.hint("merge"), "t").select("v", "group_id", F.when(F.col("trade") != "", F.col("trade")).otherwise(F.col("company_trade")).alias("has"))
+    faces = groups.where("words <> ''").groupBy("v", "group_id").agg(F.max("company_trade").alias("has")).unionByName(by_alias).withColumnRenamed("v", "f")
+
+    met = _either(links).where("v_said and u_face").select("v", F.col("u").alias("f"), F.col("v_trade").alias("trade"), "like")
+    met = met.unionByName(vertices.where("said and face").select("v", F.col("v").alias("f"), "trade", F.lit(1.0).alias("like")))
+    fits = salted_join(met, faces.hint("merge"), ["f"], "inner", heavy_keys(met, ["f"]), spread=["v"]).where("trade = '' or trade = has")
+    best = fits.groupBy("v").agg(F.max(F.struct("like", "group_id")).alias("hi"), F.max(F.struct("like", (-F.col("group_id")).alias("neg"))).alias("lo"))
+    best = best.where("hi.group_id = -lo.neg").select("v", "hi.group_id", "hi.like")
+    ours = texts.where("not face")
+    named = salted_join(ours.where("words <> ''").select("text", "v"), best.hint("merge"), ["v"], "inner", heavy_keys(ours, ["v"]), spread=["text"]).select("text", "group_id", F.lit("name").alias("how"), "like")
+    stated = ours.where("tick <> ''").select("text", F.col("tick").alias("t")).join(tickers.hint("merge"), "t").select("text", "group_id", F.lit("ticker").alias("how"), F.lit(1.0).alias("like"))
+    order = F.struct((F.col("how") == "ticker").alias("stated"), "like")
+    return stated.unionByName(named).groupBy("text").agg(F.max_by("group_id", order).alias("group_id"), F.max_by("how", order).alias("how"), F.max("like").alias("like"))
 
 
 def mention_links(dependencies: DataFrame, nodes: DataFrame, aliases: DataFrame, row_id: str = "dep_id", fields: tuple[str, ...] = ("source_company", "target_company")) -> DataFrame:
     """(row_id, field_name, text, group_id) for each cell that means a company, exact names included; heavy texts are salted."""
     cells = dependencies.select(F.col(row_id).alias("row_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("c")).select("row_id", "c.*").where("text is not null")
     links = cut(link_mentions(cells, "text", nodes, aliases).select("text", "group_id"))
-    return salted_join(cells, links, ["text"], "inner", heavy_keys(cells, ["text"]), spread=["row_id", "field_name"])
+    return salted_join(cells, links.hint("merge"), ["text"], "inner", heavy_keys(cells, ["text"]), spread=["row_id", "field_name"])

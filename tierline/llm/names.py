@@ -1,4 +1,4 @@
-"""Parsing of company names as people type them: core words, trade word, ticker."""
+"""Parsing of company names as people type them: core words, descriptor words, ticker."""
 
 from __future__ import annotations
 
@@ -6,50 +6,57 @@ import re
 import unicodedata
 from functools import lru_cache
 
-#: Trade words that part companies with the same core.
-TRADES = (
-    "aerospace", "automation", "chemical", "components", "data services", "devices", "electric", "energy", "engineering", "foods",
-    "industries", "instruments", "international", "laboratories", "logistics", "manufacturing", "materials", "medical", "mining",
-    "networks", "optics", "packaging", "paper", "pharmaceuticals", "robotics", "semiconductor", "shipping", "steel", "systems", "technologies",
-)
-#: Short forms that no rule below gives.
-SHORT = {"instrs": "instruments", "mng": "mining", "mfg": "manufacturing", "svcs": "services", "intl": "international", "shpg": "shipping", "tech": "technologies", "techs": "technologies", "eng": "engineering", "engg": "engineering", "engrg": "engineering"}
 #: Legal forms and share classes at the end of a name.
 LEGAL = ("inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "plc", "ag", "sa", "nv", "se", "gmbh", "llc", "holdings", "holding", "group", "hldgs", "grp")
 SHARES = (("class", "a", "common", "stock"), ("class", "b", "common", "stock"), ("class", "c", "common", "stock"), ("american", "depositary", "shares"), ("american", "depositary", "receipts"), ("common", "stock"), ("ordinary", "shares"), ("sponsored", "adr"), ("class", "a"), ("class", "b"), ("class", "c"), ("adr",), ("ads",))
+#: Words that never describe what a company does.
+FORMS = frozenset(LEGAL) | {w for s in SHARES for w in s} | {"the", "of", "and"}
 #: Letters without a decomposition, and digits typed for letters.
 PLAIN = str.maketrans({"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "ß": "ss", "đ": "d", "Đ": "D", "æ": "ae", "Æ": "AE", "œ": "oe", "ı": "i"})
 DIGITS = str.maketrans("013457", "oleast")
 #: Stand-ins for a ticker that is not known.
 NO_TICKER = ("", "N/A", "NA", "NONE", "NULL", "-", "--", "?", "TBD", "UNKNOWN", "NAN", "N.A.")
+#: Slots of the letters sketch that hold no vowel, two bits a slot, as a signed 64-bit number.
+CONSONANTS = ~sum(0b11 << 2 * (ord(c) - ord("a")) for c in "aeiou")
 
 _TICKER = re.compile(r"^[\s($\[]*(?:(?:nyse|nasdaq|amex|arca|bats|ticker|symbol)\s*:?\s*)?\$?([a-z]{1,6}[0-9]?)(?:\s+us)?[\s)\]]*$", re.IGNORECASE)
 _VOWELS = re.compile("[aeiou]")
 
 
 def osa(a: str, b: str, most: int) -> int:
-    """Optimal string alignment distance (edits and swaps of neighbours), or most + 1 if it is larger."""
+    """Optimal string alignment distance (edits and swaps of neighbours), or most + 1 if it is larger; time and memory grow with the length, not its square."""
     if a == b:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    if not a or not b:
-        return max(len(a), len(b))
-    two, one, now = None, list(range(len(b) + 1)), []
-    for i, x in enumerate(a, 1):
-        now = [i] + [0] * len(b)
-        lo, hi = max(1, i - most), min(len(b), i + most)
-        if lo > 1:
-            now[lo - 1] = most + 1
-        for j in range(lo, hi + 1):
-            c = min(one[j] + 1 if j <= i - 1 + most else most + 1, now[j - 1] + 1, one[j - 1] + (x != b[j - 1]))
-            if two is not None and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1]:
-                c = min(c, two[j - 2] + 1)
-            now[j] = c
-        if min(now[lo : hi + 1]) > most:
-            return most + 1
+    lo, hi_a, hi_b = 0, len(a), len(b)
+    while lo < min(hi_a, hi_b) and a[lo] == b[lo]:
+        lo += 1
+    while hi_a > lo and hi_b > lo and a[hi_a - 1] == b[hi_b - 1]:
+        hi_a, hi_b = hi_a - 1, hi_b - 1
+    a, b = a[lo:hi_a], b[lo:hi_b]
+    n, m, far, width = len(a), len(b), most + 1, 2 * most + 1
+    # cell k of row i stands for column i - most + k
+    two, one = None, [j if 0 <= (j := k - most) <= m else far for k in range(width)]
+    for i in range(1, n + 1):
+        now, x = [far] * width, a[i - 1]
+        for k in range(max(0, most - i), min(width, m + most - i + 1)):
+            j = i - most + k
+            if not j:
+                now[k] = i
+                continue
+            c = one[k] + (x != b[j - 1])
+            if k + 1 < width and one[k + 1] < c:
+                c = one[k + 1] + 1
+            if k and now[k - 1] < c:
+                c = now[k - 1] + 1
+            if two is not None and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1] and two[k] < c:
+                c = two[k] + 1
+            now[k] = c if c < far else far
+        if min(now) > most and min(one) > most:
+            return far
         two, one = one, now
-    return min(one[len(b)], most + 1)
+    return min(one[m - n + most], far)
 
 
 def ascii_lower(text: str) -> str:
@@ -61,30 +68,53 @@ def _within(short: str, long: str) -> bool:
     return all(c in it for c in short)
 
 
-@lru_cache(maxsize=200_000)
-def trade_of(token: str) -> str:
-    """The trade word that a token is, abbreviates or misspells; '' if none."""
-    whole = [t for t in TRADES if " " not in t] + ["services"]
-    if token in whole:
-        return token
-    if token in SHORT:
-        return SHORT[token]
-    if len(token) >= 3:
-        hits = [t for t in whole if t.startswith(token)]
-        if len(hits) >= 1 and len({h[: len(token) + 1] for h in hits}) == len(hits):
-            return min(hits, key=len)
-    if len(token) >= 2:
-        bones = [t for t in whole if token[0] == t[0] and token in (t[0] + _VOWELS.sub("", t[1:]), (t[0] + _VOWELS.sub("", t[1:])).rstrip("s"))]
-        hits = bones or ([t for t in whole if len(token) <= max(4, len(t) - 2) and token[0] == t[0] and (token[-1] == t[-1] or token.rstrip("s")[-1:] in t[2:]) and _within(token, t) and not _VOWELS.search(token[1:2] + token[-1])] if 3 <= len(token) <= 7 else [])
-        if not hits and 3 <= len(token) <= 7:
-            hits = [t for t in whole if t.startswith(token.rstrip("s")) and len(token.rstrip("s")) >= 3] or [t for t in whole if token[:3] == t[:3] and token[-1] == t[-1] and _within(token, t)]
-        if len(hits) == 1:
-            return hits[0]
-    if len(token) >= 5:
-        hits = [t for t in whole if osa(token, t, 2 if len(t) >= 8 else 1) <= (2 if len(t) >= 8 else 1)]
-        if len(hits) == 1:
-            return hits[0]
-    return ""
+def bones(word: str) -> str:
+    """First letter and consonants."""
+    return word[:1] + _VOWELS.sub("", word[1:])
+
+
+class Lexicon:
+    """Descriptor words, such as an industry, and the ways in which people shorten or misspell them."""
+
+    def __init__(self, words: tuple[str, ...]):
+        self.words = frozenset(words)
+        self.bones = {w: bones(w) for w in sorted(words)}
+        self.kin = lru_cache(maxsize=200_000)(self._kin)
+
+    def _kin(self, token: str) -> str:
+        """The descriptor that a token is, abbreviates or misspells; '' if none or if several fit equally."""
+        if token in self.words:
+            return token
+        n = len(token)
+        if n >= 3:
+            stem = token[:-1] if n > 3 and token[-1] == "s" else token
+            hits = [w for w in self.bones if w.startswith(token)] or [w for w in self.bones if w.startswith(stem)]
+            if len(hits) == 1:
+                return hits[0]
+        if n >= 2 and not _VOWELS.search(token[1:]):
+            hits = [w for w, b in self.bones.items() if token in (b, b.rstrip("s"))]
+            if len(hits) == 1:
+                return hits[0]
+            if n >= 3:  # the longest share of the consonants, both ends included
+                share = sorted(((n / len(b), w) for w, b in self.bones.items() if token[0] == b[0] and token[-1] == b[-1] and _within(token, b)), reverse=True)
+                if share and (len(share) == 1 or share[0][0] > share[1][0]):
+                    return share[0][1]
+        if n >= 5:
+            near = sorted((osa(token, w, 2), w) for w in self.bones if abs(len(w) - n) <= 2)
+            near = [(d, w) for d, w in near if d <= (2 if len(w) >= 8 else 1)]
+            if near and (len(near) == 1 or near[0][0] < near[1][0]):
+                return near[0][1]
+        if n >= 4:  # a beginning and an end put together, or letters left out anywhere but at the ends
+            hits = [w for w in self.bones if n < len(w) and any(w.startswith(token[:k]) and w.endswith(token[k:]) for k in range(3, n))]
+            hits = hits or [w for w in self.bones if n < len(w) and 2 * n > len(w) and token[:2] == w[:2] and token[-1] == w[-1] and _within(token, w)]
+            if len(hits) == 1:
+                return hits[0]
+        return ""
+
+
+@lru_cache(maxsize=4)
+def lexicon_of(words: tuple[str, ...]) -> Lexicon:
+    return Lexicon(words)
 
 
 def ticker_of(text: str | None) -> str:
@@ -98,21 +128,22 @@ def ticker_of(text: str | None) -> str:
     return m.group(1).upper() if m else ""
 
 
-@lru_cache(maxsize=200_000)
-def parse(name: str) -> tuple[tuple[str, ...], str]:
-    """(core words, trade word) of a company name; the trade word is '' where none is written."""
+def parse(name: str, lexicon: Lexicon) -> tuple[tuple[str, ...], str]:
+    """(core words, descriptor words in sorted order) of a company name; '' where no descriptor is written at either end."""
     s = re.sub(r"\([^)]*\)", " ", name)
     s = re.sub(r"\s[–—]\s.*$", " ", s, flags=re.DOTALL)
     s = ascii_lower(s).replace("’", "'")
     s = re.sub(r"'s\b\s*$", " ", s.strip())
     s = re.sub(r"&\s*co\b\.?", " ", s)
     s = re.sub(r"\b([a-z])\.([a-z])\b\.?", r"\1\2", s).replace("'", "")
-    tokens = [t for t in re.findall(r"[a-z0-9]+", s)]
+    tokens = re.findall(r"[^\W_]+", s)
     while len(tokens) > 1 and tokens[0] == "the":
         tokens = tokens[1:]
     moved = next((i for i, t in enumerate(tokens[:4]) if t == "of"), 0)
-    if moved:  # "Paper of X Y"
+    if moved and any(lexicon.kin(t) for t in tokens[:moved]):  # "Paper of X Y"
         tokens = tokens[moved + 1 :] + tokens[:moved]
+    else:
+        moved = 0
     before = None
     while before != tokens:
         before = tokens
@@ -123,21 +154,21 @@ def parse(name: str) -> tuple[tuple[str, ...], str]:
             tokens = tokens[:-1]
         if moved:  # legal forms that followed the core now stand inside
             tokens = [t for i, t in enumerate(tokens) if i == 0 or t not in LEGAL]
-    trade = ""
-    if len(tokens) > 1:
-        for at in (len(tokens) - 1, 0):
-            w = trade_of(tokens[at])
-            if w == "services" and at and trade_of(tokens[at - 1]) == "" and tokens[at - 1][:1] == "d" and osa(tokens[at - 1], "data", 1) <= 1:
-                trade, tokens = "data services", tokens[: at - 1]
-                break
-            if at == 0 and len(tokens) > 2 and osa(tokens[0], "data", 1) <= 1 and trade_of(tokens[1]) == "services":
-                trade, tokens = "data services", tokens[2:]
-                break
-            if w and w != "services":
-                trade, tokens = w, tokens[:at] + tokens[at + 1 :]
+    said: set[str] = set()
+
+    def peel(tokens: list[str], at: int) -> list[str]:
+        while len(tokens) > 1 and (w := lexicon.kin(tokens[at])):
+            if said and len(tokens) < 3 and osa(tokens[at], w, 1) > 1:  # one core word is left: no second abbreviation
                 break
+            said.add(w)
+            tokens = tokens[:-1] if at else tokens[1:]
+        return tokens
+
+    tokens = peel(tokens, -1)
+    if not said:
+        tokens = peel(tokens, 0)
     core = tuple(t.translate(DIGITS) if re.search("[a-z]", t) else t for t in tokens)
-    return core, trade
+    return core, " ".join(sorted(said))
 
 
 def skeleton(core: tuple[str, ...]) -> str:
@@ -145,8 +176,27 @@ def skeleton(core: tuple[str, ...]) -> str:
     return "".join(_VOWELS.sub("", w) for w in core)
 
 
+def letters(core: tuple[str, ...]) -> int:
+    """Sketch of how often each letter occurs (not, once, more often), as a signed 64-bit number: one letter more or less changes one bit at most."""
+    seen = [0] * 32
+    for w in core:
+        for c in w:
+            seen[(ord(c) - ord("a")) % 32] += 1
+    out = sum((0b11 if k > 1 else 1) << 2 * i for i, k in enumerate(seen) if k)
+    return out - (1 << 64) if out >> 63 else out
+
+
+def slack(core: tuple[str, ...], least: float, edits: int) -> int:
+    """Most bits in which the sketches of this core and of one as alike as ``least`` may differ: two an edit."""
+    w = len(core)
+    return 2 * max(edits, min(edits * w, int((1 - least) * w * max(map(len, core), default=0) + 1e-9)))
+
+
 def monge_elkan(a: tuple[str, ...], b: tuple[str, ...], most: int = 2) -> float:
-    """Symmetric Monge–Elkan similarity with normalised edit distance inside; the joined words count as one word, too, in either rotation."""
+    """Symmetric Monge–Elkan similarity with normalised edit distance inside, 0 if a word has no partner within ``most`` edits.
+
+    The joined words count as one word, too, in any rotation.
+    """
 
     def inner(x: str, y: str) -> float:
         d = osa(x, y, most)
@@ -154,8 +204,27 @@ def monge_elkan(a: tuple[str, ...], b: tuple[str, ...], most: int = 2) -> float:
 
     if not a or not b:
         return 0.0
-    whole = max(inner("".join(a), "".join(b[k:] + b[:k])) for k in range(len(b)))
+    if a == b:
+        return 1.0
+    one, two = "".join(a), "".join(b)
+    whole = 0.0
+    if abs(len(one) - len(two)) <= most:
+        twice, at, head = two + two, 0, min(8, len(two))
+        for w in b:
+            if osa(one[:head], twice[at : at + head], 2 * most) <= 2 * most:  # else the rest is not worth a look
+                whole = max(whole, inner(one, twice[at : at + len(two)]))
+            at += len(w)
     if whole > 0 or len(a) != len(b):
         return whole
-    table = [[inner(x, y) for y in b] for x in a]
-    return min(sum(max(r) for r in table) / len(a), sum(max(r[j] for r in table) for j in range(len(b))) / len(b))
+
+    def towards(xs: tuple[str, ...], ys: tuple[str, ...]) -> float:
+        there, total = set(ys), 0.0
+        for x in xs:
+            s = 1.0 if x in there else max(inner(x, y) for y in ys)
+            if not s:
+                return 0.0
+            total += s
+        return total / len(xs)
+
+    forth = towards(a, b)
+    return min(forth, towards(b, a)) if forth else 0.0
