@@ -3,16 +3,17 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.verify import compare, connect
-from tierline import graph_queries, queries
+from tierline import graph_queries, queries, view_queries
 from tierline.functions import text as X
-from tierline.operators import graph, merge, resolve, screener
-from tierline.sources import io
+from tierline.operators import graph, merge, quotes, resolve, screener
+from tierline.sources import connectors, io, schemas
 
 SF = "/root/testdata/sf0.001"
-ALL = queries.QUERIES | graph_queries.QUERIES
-CHECKED = queries.SQL | graph_queries.SQL
+ALL = queries.QUERIES | view_queries.QUERIES
+CHECKED = queries.SQL | view_queries.SQL
 
 
 @pytest.fixture(scope="session")
@@ -141,3 +142,85 @@ def test_resolution_stages(spark):
     m = spark.createDataFrame([("F",), (" f ",), ("micron",), ("nobody",), ("Chipco",), (None,), ("",), ("mu",)], "mention string")
     a = spark.createDataFrame([("Chipco", 2, "X"), ("Chipco", 1, "mu")], "query_text string, hit_rank int, symbol string")
     assert sorted((r.mention, r.id, r.stage) for r in resolve.resolve(m, n, a).collect()) == [(" f ", 1, 1), ("Chipco", 2, 3), ("micron", 2, 2), ("mu", 2, 1)]
+
+
+def test_quotes(spark):
+    old = "id bigint, ticker string, current_price double, market_cap double, percent_change double, trailing_pe double, dividend_yield string, recommendation string, ceo_name string, sector string, industry string, last_updated timestamp_ntz, other int"
+    rows = spark.createDataFrame([(i, t, 1.0, 2.0, 3.0, 4.0, "old", "Old", "Boss", "S", "I", None, i) for i, t in enumerate(["A", "B", "C", "D", "E", "F", "G", None])], old)
+    price = lambda **kw: {"price": kw}
+    import json
+
+    p = {
+        "A": price(regularMarketPrice=110, regularMarketOpen=100, marketCap=7) | {"assetProfile": {"sector": "Tech", "companyOfficers": [{"name": "N"}]}, "summaryDetail": {"dividendYield": 0.125, "trailingPE": 9}, "financialData": {"recommendationKey": "strong_buy"}},
+        "B": price(regularMarketPrice=110) | {"assetProfile": {"sector": None, "companyOfficers": [{}]}},
+        "C": price(regularMarketPrice=110, regularMarketOpen=None) | {"assetProfile": {"companyOfficers": []}, "financialData": {"recommendationKey": ""}},
+        "D": price(regularMarketPrice=110, regularMarketOpen=0), "E": price(regularMarketOpen=5),
+    }
+    q = spark.createDataFrame([(k, json.dumps(v)) for k, v in p.items()] + [("F", "No data found")], "ticker string, payload string")
+    out = quotes.merge_quotes(rows, q, F.lit("2024-01-01 00:00:00"))
+    got = {r.id: r for r in out.collect()}
+    assert [got[i].percent_change for i in range(8)] == [10.0, 10900.0, 3.0, 3.0, 3.0, 3.0, 3.0, 3.0]
+    assert [got[i].current_price for i in range(8)] == [110.0] * 4 + [1.0] * 4 and [got[i].market_cap for i in range(8)] == [7.0, None, None, None, 2.0, 2.0, 2.0, 2.0]
+    assert [got[i].trailing_pe for i in range(8)] == [9.0, None, None, None, None, 4.0, None, 4.0]
+    assert [got[i].sector for i in range(8)] == ["Tech", None, "Uncategorized", "Uncategorized", "Uncategorized", "S", "Uncategorized", "S"]
+    assert [got[i].dividend_yield for i in range(8)] == ["12.50%", *["N/A"] * 4, "old", "N/A", "old"]
+    assert [got[i].ceo_name for i in range(3)] == ["N", "N/A", "Boss"] and [got[i].recommendation for i in range(3)] == ["Strong Buy", "Old", "Old"]
+    assert [got[i].last_updated is None for i in (0, 5, 6, 7)] == [False, True, False, True] and out.columns == rows.columns
+    assert [r.ticker for r in quotes.rejects(q).collect()] == ["F"]
+
+
+def test_eligible(spark):
+    cases = [(5e9, 10.0, "Technology"), (None, 10.0, "Technology"), (0.0, 10.0, "Technology"), (-1.0, 10.0, "Technology"), (5e9, 0.0, "Technology"), (5e9, -1.0, "Technology"), (5e9, 10.0, None), (5e9, 10.0, "Pending Update"), (5e9, 10.0, "Real Estate"), (float("nan"), 1.0, "Technology"), (5e9, float("nan"), "Technology"), (5e9, 1.0, "")]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "id int, market_cap double, current_price double, sector string")
+    assert [r.id for r in screener.eligible(df, without=view_queries.NOT_EXPORTED).orderBy("id").collect()] == [0, 5, 7]
+    queue = spark.createDataFrame([(1, 5e9, None, "a"), (2, 5e9, "Uncategorized", "b"), (3, 5e9, "Insurance", "c")], "id bigint, market_cap double, sector string, name string")
+    none = spark.createDataFrame([], "id bigint, source_id bigint, target_id bigint")
+    assert [r.id for r in graph.lonely_nodes(queue, none, 1e9, without=["Insurance"]).collect()] == [2]
+    assert [r.id for r in graph.lonely_nodes(queue, none, 1e9, sectors=[]).orderBy("id").collect()] == [1, 2, 3]
+
+
+def test_links_by_ticker_and_around(spark):
+    n, e = graph_rows(spark)
+    pairs = spark.createDataFrame([("A", "C", "stored"), ("C", "A", "new"), ("C", "A", "again"), ("A", "ZZ", "lost"), (None, "A", "null")], "source string, target string, type string")
+    assert sorted((r.source_id, r.target_id, r.dependency_type, r.confidence_score) for r in graph.insert_by_ticker(n, e, pairs).collect()) == [(3, 1, "again", 1.0), (3, 1, "new", 1.0)]
+    assert {(r.id, r.degree) for r in graph.degrees(e).collect()} == {(1, 2), (2, 2), (3, 3), (9, 1)}
+    assert sorted(map(tuple, graph.neighbourhoods(n, e, n.where("id in (2, 4)")).collect())) == [(2, 1), (2, 2), (2, 3), (4, 4)]
+    assert sorted(map(tuple, screener.searches(n, spark.createDataFrame([("BO",), ("zz",), ("d",), (None,)], "term string")).collect())) == [("BO", 2)]
+
+
+def test_connectors(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "bad"), (4, "c")], "k int, q string").coalesce(1)
+
+    def answer(asked):
+        if "bad" in asked:
+            raise ValueError
+        return [x.upper() for x in asked]
+
+    assert {r.k: r.reply for r in connectors.ask(rows, "q", answer, size=2).collect()} == {1: "A", 2: "", 3: "", 4: ""}
+    landed = spark.createDataFrame([(1, "x"), (3, None)], "k int, reply string")
+    assert {r.k: r.reply for r in connectors.replayed(rows, landed, "k").collect()} == {1: "x", 2: "", 3: "", 4: ""}
+    assert [r.p for r in rows.orderBy("k").select(connectors.prompt("{q}: {k} {x}", q="q", k="k").alias("p")).collect()] == ["a: 1 {x}", ": 2 {x}", "bad: 3 {x}", "c: 4 {x}"]
+    hits = spark.createDataFrame([("c d", 1, "P"), ("a", 2, "Q"), ("a", 1, "R"), (None, 1, "S")], "query_text string, hit_rank int, symbol string")
+    got = connectors.first_answered(rows, "k", [F.concat("q", F.lit(" d")), F.col("q")], hits)
+    assert sorted(map(tuple, got.collect())) == [(1, 2, "R"), (4, 1, "P")]
+    spark.sql("CREATE DATABASE IF NOT EXISTS made")
+    assert schemas.create_tables(spark, "made") == schemas.create_tables(spark, "made") and spark.table("made.edges").count() == 0
+    spark.sql("DROP DATABASE made CASCADE")
+
+
+def test_ids_and_writers(spark, tmp_path):
+    new = spark.createDataFrame([(i * 7 % 101, f"n{i}") for i in range(101)], "seen bigint, name string")
+    stored = spark.createDataFrame([(41,), (7,)], "id bigint")
+    assert [r.id for r in merge.next_ids(new, stored, "seen").orderBy("seen").collect()] == list(range(42, 143))
+    assert merge.next_ids(new.limit(0), stored, "seen").count() == 0
+    io.append_rows(new, f"{tmp_path}/t")
+    io.append_rows(new, f"{tmp_path}/t")
+    io.write_snapshot(spark.read.parquet(f"{tmp_path}/t").distinct(), f"{tmp_path}/u")
+    io.write_json(spark.createDataFrame([(1, None)], "a int, b int"), f"{tmp_path}/j")
+    assert spark.read.parquet(f"{tmp_path}/u").count() == 101 and spark.read.text(f"{tmp_path}/j").first()[0] == '{"a":1,"b":null}'
+    with open(f"{tmp_path}/d.json", "w") as f:
+        f.write('{"x":\n [1, 2]}')
+    assert io.read_document(spark, f"{tmp_path}/d.json").first().x == [1, 2]
+    roster = spark.createDataFrame([(i, f"S{i}", f"N{i}") for i in (3, 1, 2)], "arrival int, symbol string, name string")
+    none = spark.createDataFrame([], "ticker string")
+    assert [r.arrival for r in merge.roster_merge(roster, none, 2).collect()] == [1, 2] and merge.seeded(roster, sector="x").first().sector == "x"

@@ -68,7 +68,7 @@ def _fixed(x: Column) -> Column:
 
 
 def humanise(c: str, kind: str = "currency") -> Column:
-    """A label for a number: $1.50T, $2.00B, $3.25M, else $ and grouped digits; 'percent' of a share; 'ratio'; null and NaN are N/A."""
+    """A label for a number: $1.50T, $2.00B, $3.25M, else $ and grouped digits; 'percent' of a share; 'ratio'; null, NaN and infinities are N/A."""
     x = F.col(c).cast("double")
     if kind == "percent":
         label = F.concat(_fixed(x * 100), F.lit("%"))
@@ -79,7 +79,7 @@ def humanise(c: str, kind: str = "currency") -> Column:
         plain = F.concat(F.lit("$"), F.regexp_replace(F.regexp_replace(F.format_number(x, 3), r"(\.\d*?)0+$", "$1"), r"\.$", ""))
         big = lambda unit, sign: F.concat(F.lit("$"), _fixed(x / unit), F.lit(sign))
         label = F.when(x >= 1e12, big(1e12, "T")).when(x >= 1e9, big(1e9, "B")).when(x >= 1e6, big(1e6, "M")).otherwise(plain)
-    return F.when(x.isNull() | F.isnan(x), F.lit("N/A")).otherwise(label)
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit("N/A")).otherwise(label)
 
 
 def signed_percent(c: str) -> Column:
@@ -87,6 +87,17 @@ def signed_percent(c: str) -> Column:
     return F.concat(F.when(x > 0, F.lit("+")).otherwise(F.lit("")), _fixed(x), F.lit("%"))
 
 
+def money(c: str) -> Column:
+    """A price with two decimals; null and NaN are $0.00."""
+    x = F.col(c).cast("double")
+    return F.concat(F.lit("$"), _fixed(F.when(x.isNull() | F.isnan(x), 0.0).otherwise(x)))
+
+
+def grouped(c: str) -> Column:
+    """A whole number with grouped digits; null and 0 are N/A."""
+    return F.when(F.col(c) != 0, F.format_number(F.col(c), 0)).otherwise(F.lit("N/A"))
+
+
 def date_label(c: str) -> Column:
     return F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit("N/A"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import cut
+
 PAIR = ["source_id", "target_id"]
 
 
@@ -40,26 +42,17 @@ def insert_if_absent(stored: DataFrame, batch: DataFrame, order: list[str], dedu
 def next_ids(rows: DataFrame, stored: DataFrame, order: str, out: str = "id") -> DataFrame:
     """Surrogate keys max(stored id) + 1, 2, ... by ``order`` (distinct values), without sorting all rows in one task.
 
-    Rows are range-partitioned by ``order`` and numbered inside their partition; each partition starts after the
-    rows of those before it, known from one count per partition.
+    Rows are range-partitioned by ``order`` and written once with the number of their partition, so that it stays what it is
+    whatever task runs again; each partition starts after the rows of those before it, known from one count a partition.
     """
     spark = rows.sparkSession
-    start = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    start = stored.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("m")).first()["m"]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id())
-    bounds = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("lo")).orderBy("lo").collect()  # one row a partition
-    before, offsets = start, []
-    for b in bounds:
-        offsets.append((b["lo"], before))
-        before += b["n"]
-    if not offsets:
-        return rows.withColumn(out, F.lit(None).cast("bigint"))
-    # the range that a row falls into follows from the bounds, not from where a task happens to run
-    rank = F.lit(0)
-    for i, (lo, _) in enumerate(offsets):
-        rank = F.when(F.col(order) >= F.lit(lo), F.lit(i)).otherwise(rank)
-    base = F.element_at(F.array(*[F.lit(int(o)) for _, o in offsets]), F.col("__range") + 1)
-    return rows.withColumn("__range", rank).withColumn(out, (base + F.row_number().over(W.partitionBy("__range").orderBy(order))).cast("bigint")).drop("__range")
+    ranged = cut(rows.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id()))
+    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__lo"))
+    before = counts.select("__part", (F.lit(start) + F.sum("__n").over(W.orderBy("__lo")) - F.col("__n")).alias("__before"))  # one row a partition
+    within = F.row_number().over(W.partitionBy("__part").orderBy(order))
+    return ranged.withColumn("__k", within).join(F.broadcast(before), "__part").withColumn(out, (F.col("__before") + F.col("__k")).cast("bigint")).drop("__part", "__k", "__before")
 
 
 def get_or_create(nodes: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,6 +75,16 @@ def get_or_create(nodes: DataFrame, dependencies: DataFrame) -> tuple[DataFrame,
     return created, edges
 
 
+def seeded(rows: DataFrame, **defaults: str) -> DataFrame:
+    """New rows with constant columns, such as a sector that is still pending."""
+    return rows.withColumns({c: F.lit(v) for c, v in defaults.items()})
+
+
+def unresolved(resolved: DataFrame) -> DataFrame:
+    """Rejects of admit_links: the links of which an end is not known."""
+    return resolved.where("source_id is null or target_id is null")
+
+
 def admit_links(resolved: DataFrame, company_id: int | None = None) -> DataFrame:
     """Resolved links (source_id, target_id) with both ends known and different; with ``company_id`` only those at one of its ends."""
     out = resolved.where("source_id is not null and target_id is not null and source_id <> target_id")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
 from .skew import heavy_keys, salted_join
 
 
@@ -30,17 +31,23 @@ def substring_candidates(mentions: DataFrame, nodes: DataFrame, floor: float, q:
     q-gram that is rarest in the names: an equi-join with a check of the whole, in place of a join on LIKE.
     Mentions shorter than ``q`` meet on their own length. Wildcard signs are plain characters.
     """
-    rich = nodes.where((F.col("market_cap") > floor) & ~F.isnan("market_cap"))
-    texts = rich.select("id", "name", "market_cap", F.explode(F.array(F.lower("name"), F.lower("ticker"))).alias("text")).where("text is not null")
+    rich = nodes.where((F.col("market_cap") > floor) & ~F.isnan("market_cap")).select("id", "name", "ticker", "market_cap")
+    m = guarded(mentions).withColumn("low", F.lower("said")).where("low <> ''").select("mention", "low")
+    return substring_matches(m, rich, q).distinct()
+
+
+def substring_matches(m: DataFrame, nodes: DataFrame, q: int = 3) -> DataFrame:
+    """(mention, and the columns of ``nodes`` but ticker) where a name or ticker in lower case contains ``low`` of ``m`` (mention, low)."""
+    rest = [c for c in nodes.columns if c != "ticker"]
+    texts = nodes.select(*rest, F.explode(F.array(F.lower("name"), F.lower("ticker"))).alias("text")).where("text is not null")
     cut_up = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    pieces = texts.select("id", "name", "market_cap", "text", F.explode(F.array_distinct(F.concat(*[cut_up(F.col("text"), n) for n in range(1, q + 1)]))).alias("gram"))
-    m = guarded(mentions).withColumn("low", F.lower("said")).where("low <> ''")
+    pieces = texts.select(*rest, "text", F.explode(F.array_distinct(F.concat(*[cut_up(F.col("text"), n) for n in range(1, q + 1)]))).alias("gram"))
     n = F.least(F.length("low"), F.lit(q))
     grams = m.select("mention", "low", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - n + 1), lambda i: F.substring(F.col("low"), i, n)))).alias("gram"))
     df = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rarest = grams.join(df, "gram", "left").groupBy("mention", "low").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("gram"))
     met = salted_join(rarest, pieces, ["gram"], "inner", heavy_keys(rarest, ["gram"]), spread=["mention"])
-    return met.where(F.contains("text", "low")).select("mention", "id", "name", "market_cap").distinct()
+    return met.where(F.contains("text", "low")).select("mention", *rest)
 
 
 def _lcs(a: str, b: str) -> int:
@@ -121,3 +128,15 @@ def resolve(mentions: DataFrame, nodes: DataFrame, aliases: DataFrame, floor: fl
     found = alias_first(aliases).withColumn("symbol", F.upper("symbol")).join(tickers, "symbol")
     three = left.join(found, F.col("said") == F.col("query_text")).select("mention", "id", F.lit(3).alias("stage"))
     return one.unionByName(two).unionByName(three)
+
+
+def resolve_links(dependencies: DataFrame, nodes: DataFrame, aliases: DataFrame, floor: float = 1e8) -> DataFrame:
+    """``dependencies`` with source_id and target_id: by the given ticker of each end (source_ticker, target_ticker) or else by its name; null where neither resolves."""
+    ends = [(f"{e}_ticker", f"{e}_company", f"{e}_id") for e in ("source", "target")]
+    said = dependencies.select(F.explode(F.array(*[c for t, n, _ in ends for c in (t, n)])).alias("mention")).where("mention is not null").distinct()
+    found = cut(resolve(said, nodes, aliases, floor).select("mention", "id"))
+    out = dependencies
+    for t, n, i in ends:
+        by = lambda c, name: found.select(F.col("mention").alias(c), F.col("id").alias(name))
+        out = out.join(by(t, "__t"), t, "left").join(by(n, "__n"), n, "left").withColumn(i, F.coalesce("__t", "__n")).drop("__t", "__n")
+    return out

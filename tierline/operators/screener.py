@@ -8,11 +8,31 @@ from pyspark.sql.window import Window as W
 
 from ..functions.text import clean_number, date_label, or_default
 from .graph import links
+from .resolve import substring_matches
 
 #: Columns that a table can be sorted by; texts ascend first, numbers descend.
 SORTABLE = ("name", "ticker", "current_price", "percent_change", "market_cap", "trailing_pe")
 
 
+#: Names of the document's company fields where they differ from the columns'.
+RENAMED = {"current_price": "price", "percent_change": "change", "dividend_yield": "dividend", "fifty_two_week_high": "high_52w", "fifty_two_week_low": "low_52w", "total_revenue": "revenue", "gross_margin": "margin", "ceo_name": "ceo", "business_summary": "summary"}
+
+
+def eligible(nodes: DataFrame, positive: tuple[str, ...] = ("market_cap",), there: tuple[str, ...] = ("current_price",), without: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose ``positive`` numbers are above 0, whose numbers ``there`` are neither null, NaN nor 0, and whose sector is not in ``without``; a null or empty sector counts as Uncategorized."""
+    keep = or_default("sector", "Uncategorized").isin(*without) == F.lit(False) if without else F.lit(True)
+    for c in positive:
+        keep = keep & (F.col(c) > 0) & ~F.isnan(c)
+    for c in there:
+        keep = keep & (F.col(c) != 0) & ~F.isnan(c)
+    return nodes.where(keep)
+
+
+def document_fields(nodes: DataFrame) -> DataFrame:
+    """company_fields under the document's names."""
+    return company_fields(nodes).withColumnsRenamed(RENAMED)
+
+
 def sector_grid(nodes: DataFrame) -> DataFrame:
     """(sector, n_companies), null and '' as 'Uncategorized'."""
     return nodes.groupBy(or_default("sector", "Uncategorized").alias("sector")).agg(F.count(F.lit(1)).alias("n_companies"))
@@ -40,6 +60,12 @@ def positions_in_sector(nodes: DataFrame) -> DataFrame:
     return nodes.withColumns(ranks).select("id", "sector", *ranks)
 
 
+def searches(nodes: DataFrame, terms: DataFrame, least: int = 2) -> DataFrame:
+    """(term, id): the rows that each term of ``terms`` finds (see search), all terms at once, by the rarest piece that they share."""
+    found = substring_matches(terms.select(F.col("term").alias("mention"), F.lower("term").alias("low")).where(F.length("term") >= least), nodes.select("id", "name", "ticker"))
+    return found.select(F.col("mention").alias("term"), "id").distinct()
+
+
 def search(nodes: DataFrame, term: str, least: int = 2) -> DataFrame:
     """Rows whose name or ticker contains the term literally, case ignored and blanks kept; a shorter term finds nothing."""
     if len(term) < least:
@@ -64,14 +90,16 @@ def company_fields(nodes: DataFrame) -> DataFrame:
     )
 
 
-def sector_parts(nodes: DataFrame, edges: DataFrame, rows_per_part: int = 500) -> DataFrame:
+def sector_parts(nodes: DataFrame, edges: DataFrame, linked: DataFrame | None = None, rows_per_part: int = 500) -> DataFrame:
     """(sector, part, json): the document's sectors, each cut into parts of about ``rows_per_part`` companies in id order.
 
     A company carries its upstream and downstream links in edge order, [] when none; those of one company form one array,
-    as the document requires. A part is one JSON array, so no sector has to fit one row.
+    as the document requires. A part is one JSON array, so no sector has to fit one row. Links lead to ``linked``, which are
+    ``nodes`` themselves by default.
     """
-    one = lambda d: links(nodes, edges, d).groupBy("node_id", F.floor(F.col("edge_id") / 1_000_000).alias("span")).agg(F.array_sort(F.collect_list(F.struct("edge_id", "name", "ticker", "type"))).alias("l")).groupBy("node_id").agg(F.transform(F.flatten(F.array_sort(F.collect_list("l"))), lambda x: F.struct(x["name"].alias("name"), x["ticker"].alias("ticker"), x["type"].alias("type"))).alias(d))
-    base = company_fields(nodes).join(one("upstream").withColumnRenamed("node_id", "id"), "id", "left").join(one("downstream").withColumnRenamed("node_id", "id"), "id", "left")
+    there = nodes if linked is None else linked
+    one = lambda d: links(there, edges, d).groupBy("node_id", F.floor(F.col("edge_id") / 1_000_000).alias("span")).agg(F.array_sort(F.collect_list(F.struct("edge_id", "name", "ticker", "type"))).alias("l")).groupBy("node_id").agg(F.transform(F.flatten(F.array_sort(F.collect_list("l"))), lambda x: F.struct(x["name"].alias("name"), x["ticker"].alias("ticker"), x["type"].alias("type"))).alias(d))
+    base = document_fields(nodes).join(one("upstream").withColumnRenamed("node_id", "id"), "id", "left").join(one("downstream").withColumnRenamed("node_id", "id"), "id", "left")
     empty = F.array().cast("array<struct<name:string,ticker:string,type:string>>")
     base = base.withColumns({d: F.coalesce(d, empty) for d in ("upstream", "downstream")})
     fields = [c for c in base.columns if c not in ("sector",)]
