@@ -80,6 +80,28 @@ def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(tuple(x.split(" ")), tuple(y.split(" "))) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def _within_reach(l: str, r: str) -> Column:
+    """Whether likeness can reach LEAST for two cores: whole in some rotation, by consonants, or word by word in any order.
+
+    A swap is one edit there and two in Levenshtein's distance, so twice the edits are let through.
+    """
+    a, b = F.split(l, " "), F.split(r, " ")
+    one, n = F.regexp_replace(l, " ", ""), F.size(F.split(r, " "))
+    turned = lambda k: F.array_join(F.concat(F.slice(b, k + 1, n), F.slice(b, F.lit(1), k)), "")
+    whole = (F.abs(F.length(one) - F.length(F.regexp_replace(r, " ", ""))) <= EDITS) & F.exists(F.sequence(F.lit(0), n - 1), lambda k: F.levenshtein(one, turned(k), 2 * EDITS) >= 0)
+    bare = lambda c: F.translate(c, "aeiou ", "")
+
+    def most(x: Column, y: Column) -> Column:
+        d = F.levenshtein(x, y, 2 * EDITS)
+        return F.when(d < 0, 0.0).otherwise(1 - F.ceil(d / 2) / F.greatest(F.length(x), F.length(y), F.lit(1)))
+
+    def by_word(xs: Column, ys: Column) -> Column:
+        best = F.transform(xs, lambda x: F.array_max(F.transform(ys, lambda y: most(x, y))))
+        return F.aggregate(best, F.lit(0.0), lambda total, s: total + s) / F.size(xs) >= LEAST - 1e-9
+
+    return whole | (bare(l) == bare(r)) | ((F.size(a) == n) & (n > 1) & by_word(a, b) & by_word(b, a))
+
+
 def candidates(vertices: DataFrame, keep: list[str]) -> DataFrame:
     """Pairs (l, r, like, l_*, r_* for each of ``keep``) of vertices whose cores are alike by LEAST or more, found by MinHash banding.
 
@@ -87,11 +109,13 @@ def candidates(vertices: DataFrame, keep: list[str]) -> DataFrame:
     but only one. Descriptors that both have must be the same. Beside their bands cores also meet by their consonants and
     by their letters in sorted order. Pairs whose letters differ by more than the edits that LEAST allows, and not in vowels
     alone, do not count as alike; that is told from two numbers, so only v and they are spread over the bands. The others are
-    verified by Monge–Elkan. No pair that met is lost otherwise.
+    verified by Monge–Elkan, those first set aside inside the JVM that cannot reach LEAST by a bound (see _within_reach).
+    No pair that met is lost otherwise.
     """
     keys = band_keys(Q, ROWS, bands_for(SIMILARITY, ROWS, RECALL))
     joined = F.regexp_replace("words", " ", "")
-    spread = cut(vertices.select("v", "face", "bits", "slack", F.when(F.col("trade") != "", F.xxhash64("trade")).otherwise(0).alias("th"), F.array_distinct(F.concat(keys(joined), whole_keys("words"))).alias("keys")))
+    tasks = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the hashing is work for all, however few bytes the names have
+    spread = cut(vertices.repartition(tasks).select("v", "face", "bits", "slack", F.when(F.col("trade") != "", F.xxhash64("trade")).otherwise(0).alias("th"), F.array_distinct(F.concat(keys(joined), whole_keys("words"))).alias("keys")))
     banded = spread.select(F.explode("keys").alias("band"), "v", "face", "bits", "slack", "th")
     faces = banded.where("face").select("band", *[F.col(c).alias(f"r_{c}") for c in ("v", "bits", "slack", "th")])
     differ = F.col("bits").bitwiseXOR(F.col("r_bits"))
@@ -100,7 +124,7 @@ def candidates(vertices: DataFrame, keep: list[str]) -> DataFrame:
     once = (F.col("v") != F.col("r_v")) & (~F.col("face") | (F.col("v") < F.col("r_v")))
     met = salted_join(banded, faces.hint("merge"), ["band"], "inner", heavy_keys(faces, ["band"]), near & compatible & once, spread=["v"])
     side = lambda s: vertices.select(F.col("v").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("words", *keep)]).hint("merge")
-    pairs = met.select(F.col("v").alias("l"), F.col("r_v").alias("r")).distinct().join(side("l"), "l").join(side("r"), "r")
+    pairs = met.select(F.col("v").alias("l"), F.col("r_v").alias("r")).distinct().join(side("l"), "l").join(side("r"), "r").where(_within_reach("l_words", "r_words"))
     return pairs.withColumn("like", likeness("l_words", "r_words")).where(F.col("like") >= LEAST).drop("l_words", "r_words")
 
 

@@ -73,12 +73,21 @@ def bones(word: str) -> str:
     return word[:1] + _VOWELS.sub("", word[1:])
 
 
+def _there(word: str) -> int:
+    """Which letters occur, as bits."""
+    out = 0
+    for c in word:
+        out |= 1 << ord(c) % 32
+    return out
+
+
 class Lexicon:
     """Descriptor words, such as an industry, and the ways in which people shorten or misspell them."""
 
     def __init__(self, words: tuple[str, ...]):
         self.words = frozenset(words)
         self.bones = {w: bones(w) for w in sorted(words)}
+        self.masks = {w: _there(w) for w in self.bones}
         self.kin = lru_cache(maxsize=200_000)(self._kin)
 
     def _kin(self, token: str) -> str:
@@ -100,7 +109,8 @@ class Lexicon:
                 if share and (len(share) == 1 or share[0][0] > share[1][0]):
                     return share[0][1]
         if n >= 5:
-            near = sorted((osa(token, w, 2), w) for w in self.bones if abs(len(w) - n) <= 2)
+            mine = _there(token)  # an edit changes two bits at most
+            near = sorted((osa(token, w, 2), w) for w, m in self.masks.items() if abs(len(w) - n) <= 2 and (mine ^ m).bit_count() <= 4)
             near = [(d, w) for d, w in near if d <= (2 if len(w) >= 8 else 1)]
             if near and (len(near) == 1 or near[0][0] < near[1][0]):
                 return near[0][1]
