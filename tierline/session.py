@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,13 +29,12 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> Sp
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by a reliable checkpoint in the folder that the cluster names.
+def _folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for cut lineage.
 
     ``spark.checkpoint.dir`` is read from the session. Only where nothing names a folder (local
     tests) one is made; a machine-local folder is refused on a cluster.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -40,5 +42,20 @@ def cut(df: DataFrame) -> DataFrame:
             if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="tierline-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` by a reliable checkpoint (see _folder)."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` by a Parquet table in the same folder: smaller than a checkpoint, and later reads take only the columns they need."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
