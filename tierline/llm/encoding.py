@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +18,8 @@ READ_AS = ("cp1252+", "latin-1", "mac_roman", "cp437", "cp850", "cp1250+", "cp12
 WRITTEN_AS = ("cp1252", "cp1250", "cp1251", "koi8-r", "cp866", "mac_roman", "iso8859-2")
 #: Cost of one character: (1) lost or control character, (2) a symbol or foreign letter inside a word.
 LOST, ODD = 3.0, 2.0
+#: A text that no reading improves is garbled beyond repair if it costs so much, and so much for each of its non-ASCII characters.
+RESIDUE, DENSE = 4 * ODD, 0.2
 
 #: Second halves of UTF-8 sequences when read as Latin-1 or one of its kin.
 _TAIL = "[\u0080-\u00BF€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
@@ -32,6 +35,9 @@ SUSPECT = "(?=[^\\x00-\\x7F])(?:" + "|".join((
     "(?<=[а-яё])[А-ЯЁ]", "(?<=[a-zA-Z])[Ѐ-ӿ]", "[Ѐ-ӿ][a-zA-Z]", "[А-яЁё][Ђ-Џђ-џ©®°±µ†‡€‰‹•™›¬¦§]",  # Cyrillic pages
 )) + ")"
 
+#: References to non-ASCII characters: two in a row, or one beside such a character, may be garbled; one may stand for a lost character.
+REFERENCES = "&(?:#[0-9xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});(?:&(?:#|[A-Za-z])|[^\\x00-\\x7F])|[^\\x00-\\x7F]&(?:#|[A-Za-z])|&#(?:65533|[xX][fF]{3}[dD]);"
+
 
 @lru_cache(maxsize=None)
 def _bytes_of(enc: str) -> dict[str, int]:
@@ -150,7 +156,9 @@ def _put_back(run: str, before: str, after: str, enc: str) -> tuple[str, float]:
         return new if all(c in SOUND or c.lower() in USUAL for c in new) else old
 
     new = _utf8_pattern(enc).sub(put, run)
-    return new, cost(before + new + after) - 0.5 * (len(run) - len(new))
+    falls = cost(before + new + after) - 0.5 * (len(run) - len(new))
+    old = cost(before + run + after)
+    return (new, falls) if falls < old else (run, old)
 
 
 def _undo_utf8(text: str) -> str:
@@ -220,8 +228,40 @@ def _tables() -> list[tuple[frozenset[str], dict[int, str]]]:
     return out
 
 
+#: A character reference, and runs of such and of non-ASCII characters.
+_REFERENCE = re.compile("&(?:#(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}))|([A-Za-z][A-Za-z0-9]{1,30}));")
+_REFERRED = re.compile("(?:&(?:#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6})|[A-Za-z][A-Za-z0-9]{1,30});|[^\\x00-\\x7f])+")
+
+
+def _character(m: re.Match[str]) -> str:
+    """The non-ASCII character that a reference stands for; other references stay."""
+    number, hexed, name = m.groups()
+    if name:
+        c = html5.get(name + ";", "")
+        return c if len(c) == 1 and c > "\x7f" else m.group()
+    code = int(number) if number else int(hexed, 16)
+    return chr(code) if 0x80 <= code < 0x110000 and not 0xD800 <= code < 0xE000 else m.group()
+
+
+def _dereferenced(text: str) -> str:
+    """The text with those runs of character references resolved that hold UTF-8 read in another encoding, or a lost character; sound references stay."""
+
+    def put(m: re.Match[str]) -> str:
+        run = m.group()
+        if "&" not in run:
+            return run
+        plain = _REFERENCE.sub(_character, run)
+        if "&" in plain:
+            return run
+        around = text[m.start() - 1 : m.start()] + plain + text[m.end() : m.end() + 1]
+        return plain if "\uFFFD" in plain or _undo_utf8(around) != around else run
+
+    return _REFERRED.sub(put, text) if "&" in text else text
+
+
 def repair(text: str) -> tuple[str, int, bool, bool]:
     """(text, layers undone, garbled, whole): what came out, and whether nothing garbled is left in it."""
+    text = _dereferenced(text)
     layers, seen, before = 0, text, {text}
     while True:
         new = _undo_utf8(seen)
@@ -234,6 +274,8 @@ def repair(text: str) -> tuple[str, int, bool, bool]:
         before.add(new)
         seen, layers = new, layers + 1
     lost = bool(re.search("[�\x80-\x9f]", seen)) or bool(re.search(r"(?<![A-ZÀ-Þ])(?:Ã[ ­]|Â[ ­](?=[a-z0-9]))", seen))
+    left = cost(seen)
+    lost = lost or (left >= RESIDUE and left >= DENSE * sum(c > "\x7f" for c in seen))
     return seen, layers, layers > 0 or lost, not lost
 
 
@@ -250,8 +292,9 @@ def garbled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
     Legacy readings are undone by re-encoding and strict decoding, layer by layer, as long as the
     garbling cost falls. ``whole`` is false where something stayed lost; ``repaired`` is then restored
-    as far as it can be. Null and empty texts are not garbled. Texts without any suspect character, whose
+    as far as it can be. Character references are resolved where they hold garbled characters and stay elsewhere. A text that
+    looks garbled but that no reading improves comes out, too, as it is. Null and empty texts are not garbled. Texts without any suspect character or reference, whose
     cost is zero, are set aside inside the JVM; no shuffle.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(SUSPECT))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(SUSPECT) | F.col("text").rlike(REFERENCES))
     return rows.mapInPandas(_batches, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, repaired string, layers int, whole boolean")
