@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.skew import heavy_keys, salted_join
+from ..operators.skew import heavy_of, salted_join
+from ..session import cut, written
 
 
 def words(c: Column) -> Column:
@@ -49,13 +50,30 @@ def structure(c: Column, kind: T.DataType, bags: bool = True) -> tuple[Column, C
     return F.when(c.isNull(), F.lit("0")).otherwise(digest), F.when(c.isNull(), F.lit("null")).otherwise(text)
 
 
+def _record(df: DataFrame, fields: list[str]) -> tuple[Column, Column]:
+    return structure(F.struct(*[F.col(f) for f in fields]), T.StructType([df.schema[f] for f in fields]))
+
+
 def roots(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
     """row_id, root digest (16 bytes) and canonical text of the record made of ``fields``."""
-    record = T.StructType([df.schema[f] for f in fields])
-    digest, text = structure(F.struct(*[F.col(f) for f in fields]), record)
+    digest, text = _record(df, fields)
     return df.select(F.col(row_id).alias("row_id"), F.unhex(digest).alias("root"), text.alias("canonical"))
 
 
+def _hashed(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
+    """row_id, root and the fields as f_0, f_1, ..., digested once and written."""
+    digest, _ = _record(df, fields)
+    return written(df.select(F.col(row_id).alias("row_id"), F.unhex(digest).alias("root"), *[F.col(f).alias(f"f_{i}") for i, f in enumerate(fields)]))
+
+
+def _compared(rows: DataFrame, repeated: DataFrame, df: DataFrame, fields: list[str]) -> DataFrame:
+    """(row_id, root, canonical) of the rows whose root is in ``repeated`` (root, n): only there are structures worth comparing."""
+    kinds = T.StructType([T.StructField(f, df.schema[f].dataType) for f in fields])
+    named = F.struct(*[F.col(f"f_{i}").alias(f) for i, f in enumerate(fields)])
+    again = salted_join(rows, repeated.select("root").hint("merge"), ["root"], "inner", heavy_of(repeated, "root", "n"), spread=["row_id"])
+    return cut(again.select("row_id", "root", structure(named, kinds)[1].alias("canonical")))
+
+
 def groups(rows: DataFrame) -> DataFrame:
     """One row per distinct record: root, canonical, kept_id (smallest), n_copies (rows of the record).
 
@@ -66,13 +84,24 @@ def groups(rows: DataFrame) -> DataFrame:
 
 
 def collapse(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
-    """One row per distinct record: kept_id and n_copies. Ids must be unique; null fields equal each other."""
-    return groups(roots(df, row_id, fields)).select("kept_id", "n_copies")
+    """One row per distinct record: kept_id and n_copies. Ids must be unique; null fields equal each other.
+
+    Records are digested in one pass and grouped by their roots; canonical texts are built and compared within repeated roots.
+    """
+    rows = _hashed(df, row_id, fields)
+    found = cut(rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("kept_id")))
+    several = groups(_compared(rows, found.where("n > 1"), df, fields)).select("kept_id", "n_copies")
+    return found.where("n = 1").select("kept_id", F.col("n").alias("n_copies")).unionByName(several)
 
 
 def copies(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
-    """(kept_id, copy_id) for each row that is not the kept one of its record; heavy records are salted in the join back."""
-    rows = roots(df, row_id, fields)
-    repeated = groups(rows).where("n_copies > 1").drop("n_copies")
-    out = salted_join(rows, repeated, ["root", "canonical"], "inner", heavy_keys(rows, ["root", "canonical"]), spread=["row_id"])
+    """(kept_id, copy_id) for each row that is not the kept one of its record; heavy records are salted in the joins back.
+
+    As in ``collapse`` each record is digested once.
+    """
+    rows = _hashed(df, row_id, fields)
+    repeated = cut(rows.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    same = _compared(rows, repeated, df, fields)
+    kept = groups(same).where("n_copies > 1").select("root", F.col("canonical").alias("text"), "kept_id")
+    out = salted_join(same, kept.hint("merge"), ["root"], "inner", heavy_of(repeated, "root", "n"), F.col("canonical") == F.col("text"), spread=["row_id"])
     return out.where("row_id <> kept_id").select("kept_id", F.col("row_id").alias("copy_id"))
