@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that cuts a text before its pieces are merged, as published with this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CAPACITY = 2048
 #: Windows that the items of one block fill, about; what a task holds and what is wasted at block ends both follow from it.
 BLOCK_WINDOWS = 128
+#: Tasks over which blocks are spread.
+MOST_TASKS = 10_000
 
 
 @lru_cache(maxsize=2)
@@ -30,8 +31,8 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """(doc_id, n_tokens): tokens of each whole text; null texts have none. The vocabulary file must be readable on the executors."""
+def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, tokenizer: str, pattern: str = PATTERN) -> DataFrame:
+    """(doc_id, n_tokens): tokens of each whole text; null texts have none. ``tokenizer`` is a vocabulary file that the executors can read."""
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
@@ -121,5 +122,6 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, block_windows: int = BLOCK_
         bins = fit(pdf["n_tokens"].to_numpy(), capacity)
         return pdf.assign(window_id=[f"b{b}-{j}" for b, j in zip(pdf["block"], bins, strict=True)])[["doc_id", "piece", "start_token", "n_tokens", "window_id"]]
 
+    tasks = min(blocks, MOST_TASKS)  # by number: by their few bytes all blocks would be put into one task
     schema = f"doc_id {sizes.schema['doc_id'].dataType.simpleString()}, piece int, start_token bigint, n_tokens bigint, window_id string"
-    return full.unionByName(loose.groupBy("block").applyInPandas(one, schema))
+    return full.unionByName(loose.repartition(tasks, "block").groupBy("block").applyInPandas(one, schema))

@@ -18,6 +18,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 RELATION = ["source_id", "target_id", "dependency_type"]
 
 
@@ -56,7 +57,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
-    return pack(token_counts(read(spark, d, "documents")))
+    return pack(token_counts(read(spark, d, "documents"), tokenizer=TOKENIZER))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
