@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tierline.llm")
 
@@ -74,6 +75,21 @@ def test_sound_texts():
         assert encoding.repair(t)[0] == t and not encoding.repair(t)[2], t
 
 
+def test_references_and_residue():
+    assert encoding.repair("caf&#195;&#169;-sized &#246;ffnet &amp; f&#xC3;&#xBC;r &Atilde;&copy; &quot;x&quot;") == ("café-sized &#246;ffnet &amp; für é &quot;x&quot;", 1, True, True)
+    for t in ("&#246;&#223; gro&#223;e &Uuml;&ouml;", "на заводе\xa0работают люди", "a &#12; b&#55555; &#99999999; &nosuch;&#; &", "x" * 100_000 + "&#" * 50_000):
+        assert encoding.repair(t) == (t, 0, False, True), t[:40]
+    fixed, _, garbled, whole = encoding.repair("Πα∂√ω ωr∂π √ωn∂ab πxα√o ∂oωr√ μa∂π " * 3)
+    assert garbled and not whole
+
+
+def test_sound_documents_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
+    rest = docs.where(~F.col("text").rlike(encoding.SUSPECT) & ~F.col("text").rlike(encoding.REFERENCES))
+    texts = [r.text for r in rest.select("text").collect()]
+    assert len(texts) > 800 and all(encoding.repair(t)[0] == t for t in texts)
+
+
 def test_garbled(spark):
     df = spark.createDataFrame([(1, "cafÃ© au lait"), (2, None), (3, ""), (4, "café"), (5, "besch�ftigt"), (6, "Ã©" * 20_000), (1, "cafÃ© au lait")], "doc_id bigint, text string").selectExpr("*", "'x' AS repaired", "1 AS layers")
     got = sorted((r.doc_id, r.whole) for r in encoding.garbled(df).collect())
@@ -186,6 +202,19 @@ def test_vocabulary(spark):
     assert {r.term_id for r in vocabulary.map_values(df, terms.limit(0), "id", ("f",)).collect()} == {0}
 
 
+def test_vocabulary_long_tokens_codes_and_fillers(spark):
+    r = random.Random(5)
+    long = ["".join(r.choice("abcdefghij") for _ in range(n)) for n in (13, 64, 65, 66, 300, 3000)]
+    terms = spark.createDataFrame([(i, "f", t, None) for i, t in enumerate(long, 1)] + [(50, "f", "H2 Tanks", None), (51, "f", "Power Supply", None), (52, "f", "Gas Valves", None), (53, "f", "Copper Wire", None), (54, "f", "Steel Rods", None), (55, "f", "Glass Wool", None)], "term_id int, field_name string, term string, aka string")
+    typo = lambda t: t[: len(t) // 3] + "z" + t[len(t) // 3 : -3] + t[-2:]
+    cases = {typo(t): i for i, t in enumerate(long, 1)} | {"h2 tanks": 50, "tanks": 50, "Gas Valves urgent": 52, "h3 tanks": 50, "fish tanks x": 0}
+    names = {51: "Power Supply", 52: "Gas Valves", 53: "Copper Wire", 54: "Steel Rods", 55: "Glass Wool"}
+    cases |= {f"supply of {n}": i for i, n in names.items() if i > 51} | {f"{n} bulk": i for i, n in names.items()} | {f"{n} 12": i for i, n in names.items()} | {"supply": 0, "gsa valves bulk 7": 52, "supply power": 51}
+    df = spark.createDataFrame(list(enumerate(cases)), "id bigint, f string")
+    got = {r.row_id: r.term_id for r in vocabulary.map_values(df, terms, "id", ("f",)).collect()}
+    assert {t: got[i] for i, t in enumerate(cases)} == cases
+
+
 # problem 8
 def test_differencing():
     assert sorted(np.bincount(packing.differencing(np.array([8, 7, 6, 5, 4]), 2), weights=[8, 7, 6, 5, 4])) == [14, 16]
@@ -215,7 +244,7 @@ def test_pack(spark):
 
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, "")], "doc_id bigint, text string")
-    assert [tuple(r) for r in packing.token_counts(df).orderBy("doc_id").collect()] == [(1, 2), (2, 0), (3, 0)]
+    assert [tuple(r) for r in packing.token_counts(df, tokenizer=queries.TOKENIZER).orderBy("doc_id").collect()] == [(1, 2), (2, 0), (3, 0)]
 
 
 # problem 9
