@@ -111,7 +111,7 @@ def screener_sort(s, d):
     return screener.positions_in_sector(table(s, d, "nodes"))
 
 
-@query()
+@query("SELECT id, name FROM nodes")
 def screener_collated(s, d):
     return screener.sort_table(table(s, d, "nodes"), "name", False, "UNICODE").select("id", "name")
 
@@ -276,6 +276,7 @@ def ws_collapse(s, d):
     return table(s, d, "documents").select("doc_id", F.md5(X.collapse_space("text").cast("binary")).alias("collapsed"))
 
 
+#: Words whose surroundings are taken from a page.
 SECTIONS = ["Operations", "Products", "Supply chain", "Partnerships", "Customers", "Infrastructure", "Manufacturing"]
 _WINDOWS = " || ".join(f"CASE WHEN instr(text, '{w}') > 0 THEN substr(text, instr(text, '{w}'), 2500) ELSE '' END" for w in SECTIONS)
 
@@ -304,7 +305,12 @@ def labels(s, d):
     return table(s, d, "node_snapshots").select("id", X.title_words("recommendation").alias("label"), X.date_label("last_updated").alias("day"))
 
 
-@query()
+@query(
+    """SELECT id, CASE WHEN NOT coalesce(isfinite(market_cap), false) THEN 'N/A' WHEN market_cap >= 1e12 THEN '$' || printf('%.2f', market_cap / 1e12) || 'T' WHEN market_cap >= 1e9 THEN '$' || printf('%.2f', market_cap / 1e9) || 'B'
+      WHEN market_cap >= 1e6 THEN '$' || printf('%.2f', market_cap / 1e6) || 'M' ELSE '$' || regexp_replace(regexp_replace(format('{:,.3f}', market_cap), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') END AS cap,
+      CASE WHEN coalesce(isfinite(gross_margin), false) THEN printf('%.2f', gross_margin * 100) || '%' ELSE 'N/A' END AS margin, CASE WHEN coalesce(isfinite(trailing_pe), false) THEN printf('%.2f', trailing_pe) ELSE 'N/A' END AS pe,
+      CASE WHEN coalesce(percent_change, 0.0) > 0 THEN '+' ELSE '' END || printf('%.2f', coalesce(percent_change, 0.0)) || '%' AS change FROM nodes"""
+)
 def humanise(s, d):
     return table(s, d, "nodes").select("id", X.humanise("market_cap").alias("cap"), X.humanise("gross_margin", "percent").alias("margin"), X.humanise("trailing_pe", "ratio").alias("pe"), X.signed_percent("percent_change").alias("change"))
 
@@ -361,14 +367,26 @@ def resolve_score(s, d):
     return c.select("mention", "id", resolve.name_score(F.lower(F.trim("mention")), F.lower("name")).alias("score"))
 
 
+_SET = "list_distinct(list_filter(string_split_regex(regexp_replace(lower({0}), '[^\\x00-\\x7f]', '', 'g'), '[^0-9a-z]+'), lambda w: w <> ''))"
+
+
+@query(_CANDIDATES + f" SELECT mention, id, 100 AS score FROM c WHERE len({_SET.format('mention')}) > 0 AND list_has_all({_SET.format('name')}, {_SET.format('mention')})")
+def resolve_score_contained(s, d):
+    """The scores of those candidates whose name has every word of the mention."""
+    split = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\x00-\x7f]", ""), "[^0-9a-z]+"), lambda w: w != ""))
+    c = resolve.substring_candidates(_mentions(s, d), table(s, d, "nodes"), CANDIDATE_FLOOR)
+    held = c.where((F.size(split("mention")) > 0) & (F.size(F.array_except(split("mention"), split("name"))) == 0))
+    return held.select("mention", "id", resolve.name_score(F.lower(F.trim("mention")), F.lower("name")).alias("score"))
+
+
 @query(
-    _CANDIDATES + """, o AS (SELECT mention, list(struct_pack(id := id, score := CAST(90 + (length(name) + id) % 9 AS INTEGER), cap := CAST(market_cap AS DOUBLE)) ORDER BY id) AS l FROM c GROUP BY mention),
+    _CANDIDATES + """, o AS (SELECT mention, list(struct_pack(id := id, score := CAST(80 + (length(name) + id) % 9 AS INTEGER), cap := CAST(market_cap AS DOUBLE)) ORDER BY id) AS l FROM c GROUP BY mention),
     f AS (SELECT mention, list_reduce(l, lambda a, x: CASE WHEN x.score > a.score THEN x WHEN abs(x.score - a.score) < 5 AND x.cap > a.cap THEN struct_pack(id := x.id, score := a.score, cap := x.cap) ELSE a END) AS r FROM o)
     SELECT mention, r.id AS id, r.score AS best_score FROM f WHERE r.score > 85"""
 )
 def resolve_fold(s, d):
     c = resolve.substring_candidates(_mentions(s, d), table(s, d, "nodes"), CANDIDATE_FLOOR)
-    return resolve.fold_best(c.withColumn("score", (90 + (F.length("name") + F.col("id")) % 9).cast("int")))
+    return resolve.fold_best(c.withColumn("score", (80 + (F.length("name") + F.col("id")) % 9).cast("int")))
 
 
 @query()

@@ -85,27 +85,17 @@ def name_score(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def fold_best(scored: DataFrame, accept: int = 85, near: int = 5) -> DataFrame:
-    """(mention, id, best_score): the ordered choice among scored candidates (mention, id, score, market_cap).
+    """(mention, id, best_score): the ordered choice among scored candidates (mention, id, score, market_cap); ids are unique in a mention.
 
     Candidates are taken by id. A higher score replaces the choice and the best score; a score within
     ``near`` of the best with a larger market cap replaces the choice only. Accepted if the best score is
-    above ``accept``. The candidates of one mention are held in one array: they are the nodes that contain it.
+    above ``accept``. What came before the first candidate with the highest score has no say; from there on the largest cap wins,
+    at equal caps the lowest id. So two aggregations do, and no mention's candidates have to fit one row.
     """
-    # the running maximum decides: nothing below it by ``near`` or more can be chosen
-    items = F.array_sort(F.collect_list(F.struct("id", F.col("score").cast("int").alias("score"), F.coalesce("market_cap", F.lit(0.0)).alias("cap"))))
-    start = F.struct(F.lit(None).cast("bigint").alias("id"), F.lit(0).alias("hi"), F.lit(0.0).cast("double").alias("cap"))
-
-    def step(acc: Column, x: Column) -> Column:
-        better = x["score"] > acc["hi"]
-        close = acc["id"].isNotNull() & (F.abs(x["score"] - acc["hi"]) < near) & (x["cap"] > acc["cap"])
-        return (
-            F.when(better, F.struct(x["id"].alias("id"), x["score"].alias("hi"), x["cap"].alias("cap")))
-            .when(close, F.struct(x["id"].alias("id"), acc["hi"].alias("hi"), x["cap"].alias("cap")))
-            .otherwise(acc)
-        )
-
-    out = scored.groupBy("mention").agg(F.aggregate(items, start, step).alias("m"))
-    return out.where(F.col("m.hi") > accept).select("mention", F.col("m.id").alias("id"), F.col("m.hi").alias("best_score"))
+    rows = scored.select("mention", "id", F.col("score").cast("int").alias("score"), F.coalesce(F.col("market_cap").cast("double"), F.lit(0.0)).alias("cap"))
+    top = rows.groupBy("mention").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("top")).select("mention", F.col("top.score").alias("best_score"), (-F.col("top.neg")).alias("first")).where(F.col("best_score") > accept)
+    left = salted_join(rows, top, ["mention"], "inner", heavy_keys(rows, ["mention"]), spread=["id"]).where((F.col("id") >= F.col("first")) & (F.col("best_score") - F.col("score") < near))
+    return left.groupBy("mention").agg(F.max_by("id", F.struct("cap", (-F.col("id")).alias("neg"))).alias("id"), F.max("best_score").alias("best_score"))
 
 
 def alias_first(aliases: DataFrame) -> DataFrame:
