@@ -17,22 +17,26 @@ from .names import CONSONANTS, FORMS, letters, lexicon_of, monge_elkan, osa, par
 Q, ROWS, SIMILARITY, RECALL = 2, 4, 0.5, 0.97
 #: Least Monge–Elkan similarity of names that can mean one company, and the most edits of a word in it.
 LEAST, EDITS = 0.8, 2
-#: A word describes and does not name if it stands in this share of the distinct names, and in so many of them.
+#: A word describes and does not name if it stands with this share of the distinct names, and with so many of them.
 COMMON, SEVERAL = 1 / 200, 5
 
 _NAME = T.StructType([*[T.StructField(c, T.StringType()) for c in ("words", "trade", "tick")], T.StructField("bits", T.LongType()), T.StructField("slack", T.IntegerType())])
 
 
 def descriptors(names: DataFrame, c: str, share: float = COMMON, least: int = SEVERAL) -> tuple[str, ...]:
-    """The words that describe companies rather than name them, learned as those that many different names have in common.
+    """The words that describe companies rather than name them, learned as those that stand with many different names.
 
-    Legal forms aside. The names have so many words each on average, divided by ``share``, as such words at most.
+    A word counts by the different words that lead the names in which it stands (the next word, where it leads itself), so
+    many spellings of one company make no descriptor of its name. Legal forms count as nothing. The names have so many words
+    each on average, divided by ``share``, as such words at most.
     """
     distinct = names.select(F.lower(c).alias("name")).where("name is not null").distinct()
-    words = F.filter(F.array_distinct(F.split("name", r"[^\p{L}\p{N}]+")), lambda w: (F.length(w) >= 3) & ~w.isin(*sorted(FORMS)))
-    counts = distinct.select(F.explode(F.concat(F.array(F.lit("")), words)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))  # '' counts the names
-    every = counts.where("word = ''").select("n").scalar()
-    return tuple(sorted(r["word"] for r in counts.where((F.col("word") != "") & (F.col("n") >= least) & (F.col("n") >= every * F.lit(share))).select("word").collect()))
+    tokens = F.filter(F.split("name", r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= 3) & ~w.isin(*sorted(FORMS)))
+    stands = F.transform("tokens", lambda w, i: F.struct(w.alias("word"), F.when(i == 0, F.get("tokens", F.lit(1))).otherwise(F.get("tokens", F.lit(0))).alias("with")))
+    every = F.array(F.struct(F.lit("").alias("word"), F.col("name").alias("with")))  # '' counts the names
+    counts = distinct.withColumn("tokens", tokens).select(F.explode(F.concat(every, stands)).alias("s")).select("s.*").groupBy("word").agg(F.count_distinct("with").alias("n"))
+    total = counts.where("word = ''").select("n").scalar()
+    return tuple(sorted(r["word"] for r in counts.where((F.col("word") != "") & (F.col("n") >= least) & (F.col("n") >= total * F.lit(share))).select("word").collect()))
 
 
 def parsed(known: tuple[str, ...]):
