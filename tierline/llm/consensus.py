@@ -106,18 +106,19 @@ def consensus(cells: DataFrame, trust_latest: bool = True) -> DataFrame:
     recency; without it the majority of tokens wins. The existing value closest to the voted tokens is
     taken, at equal distance the latest; row_id is the latest row that has it. ``cells`` hold usable
     values only. Groups of any size: equal values are counted map-side, distinct ones aligned in a tree
-    of at most FAN_IN profiles a step.
+    of about FAN_IN profiles a step; a group of one distinct value has nothing to align.
     """
     latest = F.struct(F.coalesce(F.col("at").cast("timestamp_ntz"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")).alias("at"), (-F.col("row_id")).alias("neg"))
-    values = cut(cells.groupBy("grp", "field_name", "value").agg(F.count(F.lit(1)).alias("n"), F.max(latest).alias("last")))
-    per = values.groupBy("grp", "field_name").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("k"), F.max("last").alias("newest"))
     keys = ["grp", "field_name"]
+    values = cut(cells.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"), F.max(latest).alias("last")))
+    per = values.groupBy(*keys).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("k"), F.max("last").alias("newest"))
     heavy = heavy_keys(values, keys)
-    joined = salted_join(values, per, keys, "inner", heavy, spread=["value"])
+    joined = cut(salted_join(values, per.hint("merge"), keys, "inner", heavy, spread=["value"]))
+    several = joined.where("k > 1")
     weight = (F.col("n") + (F.when(F.col("last") == F.col("newest"), F.col("rows") + 1).otherwise(0) if trust_latest else F.lit(0))).cast("double")
     tokens = F.filter(F.split("value", r"\s+"), lambda t: t != "")
-    level = joined.select(*keys, "k", F.xxhash64("value").alias("h"), F.to_json(F.transform(tokens, lambda t: F.create_map(t, weight))).alias("profile"))
-    most = values.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+    level = several.select(*keys, "k", F.xxhash64("value").alias("h"), F.to_json(F.transform(tokens, lambda t: F.create_map(t, weight))).alias("profile"))
+    most = several.agg(F.max("k")).first()[0] or 1
     for _ in range(max(1, math.ceil(math.log(max(most, 2), FAN_IN)))):
         parts = F.greatest(F.ceil(F.col("k") / FAN_IN), F.lit(1)).cast("long")
         level = (
@@ -127,9 +128,9 @@ def consensus(cells: DataFrame, trust_latest: bool = True) -> DataFrame:
             .select(*keys, "k", F.xxhash64("part").alias("h"), merge_profiles("all").alias("profile"))
         )
     voted = level.select(*keys, vote("profile").alias("voted"))
-    scored = salted_join(values, voted, keys, "inner", heavy, spread=["value"]).withColumn("far", token_distance(tokens, "voted"))
-    pick = F.struct(F.lit(0).alias("z"), (-F.col("far")).alias("near"), "last")
-    return scored.groupBy(*keys).agg(F.max_by(F.struct("value", "last"), pick).alias("b")).select(*keys, "b.value", (-F.col("b.last.neg")).alias("row_id"))
+    scored = salted_join(several, voted.hint("merge"), keys, "inner", heavy, spread=["value"]).withColumn("far", token_distance(tokens, "voted"))
+    best = scored.groupBy(*keys).agg(F.max_by(F.struct("value", "last"), F.struct((-F.col("far")).alias("near"), "last")).alias("b")).select(*keys, "b.value", (-F.col("b.last.neg")).alias("row_id"))
+    return best.unionByName(joined.where("k = 1").select(*keys, "value", (-F.col("last.neg")).alias("row_id")))
 
 
 def usable_ticker(c: str) -> Column:
@@ -141,13 +142,13 @@ def survivors(nodes: DataFrame, trust_latest: bool = True) -> DataFrame:
     """One row per company with two or more rows: group_id (smallest id), n_rows, and for name, ticker and market_cap the value and the id of its row (0 and null if no row has a usable one)."""
     groups = cut(company_groups(nodes).select("row_id", F.col("group_id").alias("grp")))
     several = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
-    member = salted_join(groups, several, ["grp"], "inner", heavy_keys(groups, ["grp"]), spread=["row_id"]).select("row_id", "grp")
+    member = salted_join(groups, several.hint("merge"), ["grp"], "inner", heavy_keys(groups, ["grp"]), spread=["row_id"]).select("row_id", "grp")
     cap = F.col("market_cap").cast("double")
     usable = {"name": F.col("name"), "ticker": usable_ticker("ticker"), "market_cap": F.when((cap > 0) & ~F.isnan(cap) & (cap < float("inf")), cap).cast("string")}
-    wide = nodes.select(F.col("id").alias("row_id"), F.col("last_updated").alias("at"), *[v.alias(f"u_{k}") for k, v in usable.items()]).join(member, "row_id")
+    wide = nodes.select(F.col("id").alias("row_id"), F.col("last_updated").alias("at"), *[v.alias(f"u_{k}") for k, v in usable.items()]).join(member.hint("merge"), "row_id")
     cells = wide.select("row_id", "at", "grp", F.explode(F.array(*[F.struct(F.lit(k).alias("field_name"), F.col(f"u_{k}").alias("value")) for k in usable])).alias("c")).select("row_id", "at", "grp", "c.*").where("value is not null")
     best = consensus(cells, trust_latest)
     one = lambda f, c: F.max(F.when(F.col("field_name") == f, F.col(c)))
     flat = best.groupBy("grp").agg(*[x for f, p in (("name", "name"), ("ticker", "ticker"), ("market_cap", "cap")) for x in (one(f, "value").alias(f), one(f, "row_id").alias(f"{p}_id"))])
-    out = several.join(flat, "grp", "left")
+    out = several.join(flat.hint("merge"), "grp", "left")
     return out.select(F.col("grp").alias("group_id"), "n_rows", "name", "ticker", F.col("market_cap").cast("double").alias("market_cap"), *[F.coalesce(f"{p}_id", F.lit(0)).cast("bigint").alias(f"{p}_id") for p in ("name", "ticker", "cap")])

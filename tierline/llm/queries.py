@@ -49,6 +49,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors(read(spark, d, "nodes")).select("group_id", "name_id", "ticker_id", "cap_id")
 
 
+def p6_consensus(spark: SparkSession, d: str) -> DataFrame:
+    """Survivors by vote: the value closest to the tokens that most rows of a company have, whatever its age."""
+    return survivors(read(spark, d, "nodes"), trust_latest=False)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     terms = read(spark, d, "canon_terms")
     exact = terms.select("field_name", F.col("term").alias("text"))
@@ -64,7 +69,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(read(spark, d, "documents"), read(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p8_pack, p9_found, p2_found, p6_found, p7_found, p3_found, p3_collapsed, p10_found, p10_repaired)}
+QUERIES = {f.__name__: f for f in (p8_pack, p9_found, p2_found, p6_found, p6_consensus, p7_found, p3_found, p3_collapsed, p10_found, p10_repaired)}
 
 _KEPT = """
 WITH w AS (SELECT id, source_id, target_id, list_sort(list_filter(string_split_regex(lower(upper(dependency_type)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS words FROM edges),
