@@ -186,28 +186,28 @@ def match(values: DataFrame, terms: DataFrame) -> DataFrame:
     meant = repaired.join(places, ["field_name", "entry"])
     said = typed.select("field_name", "text", F.posexplode("tokens").alias("pos", "token")).withColumn("idle", is_idle(F.col("token")))
     heavy = heavy_keys(said, ["field_name", "token"])
-    hits = salted_join(said, meant, ["field_name", "token"], "inner", heavy, spread=["text"])
+    hits = salted_join(said, meant.hint("merge"), ["field_name", "token"], "inner", heavy, spread=["text"])
     weight = F.col("idf") * F.col("idf")
     by_entry = hits.groupBy("field_name", "text", "term_id", "label_id", "words").agg(
         F.size(F.collect_set(F.when(~F.col("idle"), F.col("pos")))).alias("explained"), F.size(F.collect_set("entry")).alias("found"),
         F.sum(F.col("sim") * weight).alias("dot"), F.sum(weight).alias("norm"),
     )
-    known = salted_join(said.where("not idle"), repaired.select("field_name", "token").distinct().withColumn("known", F.lit(True)), ["field_name", "token"], "left", heavy, spread=["text"])
+    known = salted_join(said.where("not idle"), repaired.select("field_name", "token").distinct().withColumn("known", F.lit(True)).hint("merge"), ["field_name", "token"], "left", heavy, spread=["text"])
     needed = known.groupBy("field_name", "text").agg(F.count("known").alias("known"), F.count(F.when(F.col("known").isNull(), 1)).alias("foreign"))
-    whole = by_entry.where("found = words").join(needed, ["field_name", "text"], "left").join(F.broadcast(usual), "field_name")  # one row a field
+    whole = by_entry.where("found = words").join(needed.hint("merge"), ["field_name", "text"], "left").join(F.broadcast(usual), "field_name")  # one row a field
     whole = whole.where(F.col("explained") == F.coalesce("known", F.lit(0))).select("field_name", "text", "term_id", (F.col("dot") / (F.col("norm") + F.coalesce("foreign", F.lit(0)) * F.col("usual"))).alias("score"))
     whole = cut(whole)
 
     # other values as one token, with and without their fillers, against whole entries and initials
     joined = ref.select("field_name", "term_id", F.explode(F.array_distinct(F.array(F.array_join("tokens", ""), "all"))).alias("entry")).distinct()
-    rest = typed.join(whole.where("score >= 1").select("field_name", "text").distinct(), ["field_name", "text"], "left_anti")
+    rest = typed.join(whole.where("score >= 1").select("field_name", "text").distinct().hint("merge"), ["field_name", "text"], "left_anti")
     spelt = rest.select("field_name", "text", F.explode(F.array_distinct(F.array("all", F.array_join("tokens", ""), F.array_join(F.filter("tokens", lambda t: ~is_idle(t)), "")))).alias("letters")).where("letters <> ''")
     letters = spelt.select("field_name", "letters").distinct().repartition(tasks)
     keyed = lambda df, c, keys: df.withColumn("key", F.explode(keys(c))).where(~F.col("key").startswith("p"))
     near = keyed(letters, "letters", keys_of_typed).join(keyed(joined, "entry", keys_of_entry), ["field_name", "key"]).select("field_name", "letters", "term_id", "entry").distinct()
     as_one = near.withColumn("score", repair("letters", "entry")).where(F.col("score") >= TOKEN).select("field_name", "term_id", "letters", F.when(F.length("entry") > F.length("letters") + 2, F.least("score", F.lit(0.7))).otherwise(F.col("score")).alias("score"))
     initials = ref.where(F.size("tokens") >= 3).select("field_name", "term_id", F.array_join(F.transform("tokens", lambda t: F.substring(t, 1, 1)), "").alias("letters"), F.lit(0.8).alias("score"))
-    by_letters = salted_join(spelt, as_one.unionByName(initials), ["field_name", "letters"], "inner", heavy_keys(spelt, ["field_name", "letters"]), spread=["text"]).select("field_name", "text", "term_id", "score")
+    by_letters = salted_join(spelt, as_one.unionByName(initials).hint("merge"), ["field_name", "letters"], "inner", heavy_keys(spelt, ["field_name", "letters"]), spread=["text"]).select("field_name", "text", "term_id", "score")
 
     all_ = whole.unionByName(by_letters).groupBy("field_name", "text", "term_id").agg(F.round(F.max("score"), 9).alias("score")).where(F.col("score") >= ENTRY)
     top = all_.groupBy("field_name", "text").agg(F.max(F.struct("score", "term_id")).alias("hi"), F.max(F.struct("score", (-F.col("term_id")).alias("neg"))).alias("lo"))
@@ -222,5 +222,5 @@ def map_values(rows: DataFrame, terms: DataFrame, row_id: str = "dep_id", fields
     """
     cells = rows.select(F.col(row_id).alias("row_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("c")).select("row_id", "c.*").where(F.col("text").rlike(r"(?U)\S"))
     found = cut(match(cells, terms))
-    out = salted_join(cells, found, ["field_name", "text"], "left", heavy_keys(cells, ["field_name", "text"]), spread=["row_id"])
+    out = salted_join(cells, found.hint("merge"), ["field_name", "text"], "left", heavy_keys(cells, ["field_name", "text"]), spread=["row_id"])
     return out.select("row_id", "field_name", "text", F.coalesce("term_id", F.lit(0)).cast("bigint").alias("term_id"), "score")
