@@ -99,9 +99,11 @@ def test_garbled(spark):
 # problems 6 and 7
 def test_names():
     same = ["The Kondtrem Brexzond Medical Inc.", "KONDTREM BREXZOND MEDICAL", "Kondtrem-Brexzond Med. Corp. Sponsored ADR", "Medical of Kondtrem Brexzond plc", "Kóndtrem Brexzond Mdcl (Göllheide)", "kondtrem_brexzond medical's", "Kondtrem  Brexzond  Medical, N.V. ", "medical kondtrem brexzond"]
-    assert {names.parse(s) for s in same} == {(("kondtrem", "brexzond"), "medical")}
-    assert names.parse("Data Services Rilvolt Rindgark")[1] == "data services" == names.parse("Rilvolt Rindgark Data Svcs Ltd.")[1]
-    assert names.parse("") == ((), "") and names.parse("Inc.")[0] == ("inc",)
+    lex = names.lexicon_of(("automation", "data", "foods", "manufacturing", "medical", "mining", "services", "steel"))
+    assert {names.parse(s, lex) for s in same} == {(("kondtrem", "brexzond"), "medical")}
+    assert names.parse("Data Services Rilvolt Rindgark", lex)[1] == "data services" == names.parse("Rilvolt Rindgark Data Svcs Ltd.", lex)[1]
+    assert names.parse("", lex) == ((), "") and names.parse("Inc.", lex)[0] == ("inc",) and names.parse("Girmil Srvs Mfg", lex) == (("girmil", "srvs"), "manufacturing")
+    assert [lex.kin(t) for t in ("auto'n".replace("'", ""), "mng", "mfg", "steeel", "fds", "m", "xyz", "kondtrem")] == ["automation", "mining", "manufacturing", "steel", "foods", "", "", ""]
     assert [names.ticker_of(t) for t in ("NYSE: abcd", "$ABCD", "(abcd)", "ticker ABCD", "ABCD US", "N/A", None, " ", "Two Words")] == ["ABCD"] * 5 + [""] * 4
 
 
@@ -141,13 +143,16 @@ def company_rows(spark):
         (4, "Kondtrem Brexzond Foods Corp.", "KBFOO", "Food", "Farm", 1e9, None), (5, "Kondtrem Brexzond", "NYSE:KBFOO", "Food", "Farm", 1e9, None),
         (6, "Lonely Harbul Steel", None, "S", "I", 1.0, at(1)), (7, None, None, None, None, None, None), (8, "", "", "", "", float("nan"), None),
     ]
+    # enough names for words to be learned from
+    rows += [(100 + i, f"{a}{b} {w} plc", None, None, None, None, None) for i, (a, (b, w)) in enumerate((a, x) for a in ("Zul", "Quor", "Wyx", "Jip", "Obr") for x in (("aq", "Medical"), ("ewir", "Foods"), ("opsy", "Steel"), ("ugtha", "Paper")))]
     return spark.createDataFrame(rows, "id bigint, name string, ticker string, sector string, industry string, market_cap double, last_updated timestamp_ntz")
 
 
 def test_groups_and_survivors(spark):
     df = company_rows(spark).selectExpr("*", "1 AS group_id", "'x' AS core")
-    groups = {r.row_id: r.group_id for r in companies.company_groups(df).collect()}
+    groups = {r.row_id: r.group_id for r in companies.company_groups(df).collect() if r.row_id < 100}
     assert groups == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8}
+    assert companies.company_groups(df.limit(0)).count() == 0
     got = {r.group_id: (r.n_rows, r.name_id, r.ticker_id, r.cap_id) for r in consensus.survivors(df).collect()}
     assert got == {1: (3, 2, 2, 1), 4: (2, 4, 4, 4)}
     assert consensus.survivors(df.limit(0)).count() == 0
@@ -161,11 +166,57 @@ def test_mentions(spark):
     assert got == {"Kondtrem Brexzond Mdcl": 1, "Brexzond Kondtrem Medical plc": 1, "Kondtrem Brexznod Foods": 4, "KBFOO US": 4, "Nickname": 4}
 
 
+def test_names_off_any_list(spark):
+    said = ["Goldman Sachs Group Inc", "Goldmann Sachs Group", "Microsoft Corporation", "Microsft Corp.", "Acme Textiles Ltd", "Acme Textils Ltd", "Acme Foods", "Компания Ромашка", "компания ромашка ltd", "Bank of New York Mellon", "Bank of New York Trust"]
+    df = spark.createDataFrame([(i, n, None, None, None, None) for i, n in enumerate(said)], "id bigint, name string, ticker string, sector string, industry string, market_cap double")
+    assert {r.row_id: r.group_id for r in companies.company_groups(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 7, 8: 7, 9: 9, 10: 10}
+    m = spark.createDataFrame([("microsoft inc",), ("Sachs Goldman",), ("Nobody",), ("Acme Txtls",)], "t string")
+    a = spark.createDataFrame([], "query_text string, hit_rank int, symbol string")
+    assert {r.text: r.group_id for r in companies.link_mentions(m, "t", df, a).collect()} == {"microsoft inc": 2, "Sachs Goldman": 0, "Acme Txtls": 4}
+
+
+def test_descriptors(spark):
+    df = company_rows(spark)
+    assert companies.descriptors(df, "name") == ("foods", "medical", "paper", "steel") and companies.descriptors(df.limit(0), "name") == ()
+
+
+def test_letters_bound_the_edits():
+    r = random.Random(8)
+    for _ in range(500):
+        a = tuple("".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 10))) for _ in range(r.randrange(1, 4)))
+        b = list(a)
+        r.shuffle(b)
+        for _ in range(r.randrange(3)):
+            i = r.randrange(len(b))
+            j = r.randrange(len(b[i]))
+            b[i] = r.choice([b[i][:j] + "x" + b[i][j:], b[i][:j] + "y" + b[i][j + 1 :], b[i][: max(j, 1)] + b[i][max(j, 1) + 1 :]])
+        b = tuple(b)
+        if names.monge_elkan(a, b) >= companies.LEAST:
+            bits = ((names.letters(a) ^ names.letters(b)) & (1 << 64) - 1).bit_count()
+            assert bits <= max(names.slack(c, companies.LEAST, companies.EDITS) for c in (a, b)), (a, b)
+
+
 def test_star_clusters(spark):
-    v = spark.createDataFrame([(c, i) for i, c in enumerate("abcdef")], "v string, rank int")
+    ranks = {c: i for i, c in enumerate("abcdef")}
     links = [("a", "b", 0.9), ("b", "c", 0.95), ("c", "d", 0.8)]
-    e = spark.createDataFrame([x for a, b, s in links for x in ((a, b, s), (b, a, s))], "u string, v string, like double")
-    assert {r.v: r.center for r in companies.star(v, e).collect()} == {"a": "a", "b": "c", "c": "c", "d": "c", "e": "e", "f": "f"}
+    e = spark.createDataFrame([(u, v, s, ranks[u], ranks[v]) for a, b, s in links for u, v in ((a, b), (b, a))], "u string, v string, like double, u_rank int, v_rank int")
+    assert {r.v: r.center for r in companies.star(e).collect()} == {"a": "a", "b": "c", "c": "c", "d": "c"}
+    assert companies.star(e.limit(0)).count() == 0
+
+
+def test_stars_match_a_loop(spark):
+    r = random.Random(12)
+    pairs = {(a, b): r.choice([0.8, 0.9, 1.0]) for a in range(40) for b in range(a) if r.random() < 0.08}
+    near: dict = defaultdict(dict)
+    for (a, b), s in pairs.items():
+        near[a][b] = near[b][a] = s
+    centers: set = set()
+    for v in sorted(near):
+        if not centers & {u for u in near[v] if u < v}:
+            centers.add(v)
+    want = {v: v if v in centers else min((-near[v][u], u) for u in near[v] if u in centers)[1] for v in near}
+    e = spark.createDataFrame([(u, v, near[v][u], u, v) for v in near for u in near[v]], "u int, v int, like double, u_rank int, v_rank int")
+    assert {x.v: x.center for x in companies.star(e).collect()} == want
 
 
 def test_candidates_match_brute_force(spark):
@@ -175,13 +226,15 @@ def test_candidates_match_brute_force(spark):
     firm = [tuple(words[i : i + 3]) for i in range(0, 30, 3)] + [("northern", "pacific", "railways")]
     typed = [("notrhern", "pacfiic", "railwasy")] + [tuple(swap(w, r.randrange(1, 6)) for w in r.sample(f, 3)) for f in firm for _ in range(4)]
     typed += [tuple(w[:i] + "z" + w[i + 1 :] for w, i in zip(f, (1, 3, 5), strict=True)) for f in firm]
-    shapes = lambda cores: spark.createDataFrame([(list(c), "".join(c), "".join(c[1:] + c[:1]), names.skeleton(c)) for c in cores], "core array<string>, joined string, turned string, bones string")
+    rows = [(" ".join(c), c in firm, names.letters(c), names.slack(c, companies.LEAST, companies.EDITS)) for c in dict.fromkeys(firm + typed)]
+    vertices = spark.createDataFrame(rows, "words string, face boolean, bits bigint, slack int").selectExpr("cast(words as binary) AS v", "*", "'' AS trade")
     keys = minhash.band_keys(companies.Q, companies.ROWS, minhash.bands_for(companies.SIMILARITY, companies.ROWS, companies.RECALL))
-    bands = {tuple(x.core): set(x.k) for x in shapes({*firm, *typed}).select("core", keys("joined").alias("k")).collect()}
+    bands = {tuple(x.words.split()): set(x.k) for x in vertices.select("words", keys(F.regexp_replace("words", " ", "")).alias("k")).collect()}
     meet = lambda a, b: bands[a] & bands[b] or sorted("".join(a)) == sorted("".join(b))
-    want = {(a, b) for a in typed for b in firm if meet(a, b) and names.monge_elkan(a, b, companies.EDITS) >= companies.LEAST}
-    got = {(tuple(x.l_core), tuple(x.r_core)) for x in companies.candidates(shapes({*typed}), shapes(firm)).collect()}
-    assert got == want and (typed[0], firm[-1]) in got and len(want) > 45
+    alike = lambda a, b: meet(a, b) and names.monge_elkan(a, b, companies.EDITS) >= companies.LEAST
+    want = {(" ".join(a), " ".join(b)) for a in {*typed} - {*firm} for b in firm if alike(a, b)} | {tuple(sorted((" ".join(a), " ".join(b)))) for a in firm for b in firm if a < b and alike(a, b)}
+    got = {(bytes(x.l).decode(), bytes(x.r).decode()) for x in companies.candidates(vertices, ["face"]).collect()}
+    assert got == want and (" ".join(typed[0]), " ".join(firm[-1])) in got and len(want) > 45
 
 
 def test_consensus_by_majority(spark):
@@ -192,6 +245,23 @@ def test_consensus_by_majority(spark):
     assert consensus.consensus(df).first().value == "The Alpha Beta"
 
 
+@pytest.mark.parametrize("fan_in", [256, 3])
+def test_consensus_in_a_tree(spark, monkeypatch, fan_in):
+    monkeypatch.setattr(consensus, "FAN_IN", fan_in)
+    r = random.Random(9)
+    base = {g: [f"w{g}{i}" for i in range(5)] for g in range(6)}
+    rows, want = [], {}
+    for g, tokens in base.items():
+        said = [tokens[:i] + ["odd" + str(k)] + tokens[i + 1 :] for k, i in enumerate(r.choices(range(5), k=12))] + [tokens] * (3 + g % 2)
+        r.shuffle(said)
+        rows += [(g, "f", " ".join(t), 100 * g + i, None) for i, t in enumerate(said)]
+        want[g] = (" ".join(tokens), min(100 * g + i for i, t in enumerate(said) if t == tokens))
+    rows.append((50, "f", "alone", 7, None))
+    df = spark.createDataFrame(rows, "grp bigint, field_name string, value string, row_id bigint, at timestamp_ntz")
+    got = {x.grp: (x.value, x.row_id) for x in consensus.consensus(df, trust_latest=False).collect()}
+    assert got == want | {50: ("alone", 7)}
+
+
 # problem 2
 def test_vocabulary(spark):
     terms = spark.createDataFrame([(1, "f", "Raw Materials", "feedstock; base stuff"), (2, "f", "Printed Circuit Boards", None), (3, "f", "Raw Sugar", None), (4, "g", "Raw Materials", None)], "term_id int, field_name string, term string, aka string")
