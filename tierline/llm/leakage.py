@@ -19,18 +19,22 @@ from ..session import cut
 
 #: Length of the q-grams, width of a diagonal band (neighbours overlap by half).
 Q, BAND = 8, 64
-#: A region needs this many shared q-grams, and this share of the q-grams that it spans. By the lemma one edit undoes at most Q of them, so a region of length n that passes for sure has up to (1 - DENSITY) * n / Q scattered edits, more if they fall on the same words.
-SHARED, DENSITY = 20, 0.5
+#: Edit budget of the filter: by the lemma one edit undoes at most Q q-grams, so a region that spans g of them with SURE * g edits or fewer, however
+#: scattered, keeps DENSITY * g. Edits that fall on the same words undo fewer, and more of them pass.
+SURE = 1 / 16
+DENSITY = 1 - Q * SURE
+#: A region needs this many shared q-grams: those of a stretch of 47 characters at that density.
+SHARED = 20
 #: A passage shorter than this is joined with its neighbours in the item; one that stays shorter needs all of its q-grams.
 SHORT = SHARED + Q - 1
-#: Most edits of an aligned region, as a share of its length.
+#: Most edits of an aligned region, as a share of its length: wider than the filter's budget, for edits that fall on the same words.
 EDITS = 0.25
 #: Least share of an item's words that must stand in a document.
 COVERAGE = 0.4
 #: Sentences that the same items share are no stock but copies of an item if they are this share or more of each one's words, besides those shared otherwise.
 COPY = 0.8
-#: Characters of items that one index holds; more items are worked in blocks, so that what is broadcast stays bounded.
-BLOCK_CHARS = 4_000_000
+#: Characters of items that one index holds (some 24 bytes each), and indexes that one scan of the documents takes along; so what is broadcast stays bounded.
+BLOCK_CHARS, SCAN_BLOCKS = 2_000_000, 4
 
 _SPACE = 32
 
@@ -67,7 +71,7 @@ def codes(text: str) -> np.ndarray:
 
 
 def grams(x: np.ndarray) -> np.ndarray:
-    """All q-grams of eight bytes as 64-bit numbers: exact, not hashed."""
+    """All q-grams of eight coded bytes as 64-bit numbers. Latin letters and digits keep their own codes; letters of other scripts share 127, so there two q-grams can be equal by chance."""
     if len(x) < Q:
         return np.zeros(0, dtype=np.uint64)
     return np.ndarray((len(x) - Q + 1,), dtype="<u8", buffer=np.ascontiguousarray(x), strides=(1,)).copy()
@@ -127,7 +131,7 @@ class Index:
         sid = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         pos = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.zeros(0, dtype=int)
         order = np.argsort(flat, kind="stable")
-        self.sid, self.pos = sid[order].astype(np.int64), pos[order].astype(np.int64)
+        self.sid, self.pos = sid[order].astype(np.int32), pos[order].astype(np.int32)
         self.keys, self.start = np.unique(flat[order], return_index=True)
         self.start = np.append(self.start, len(flat))
         self.filter = np.zeros(1 << 22, dtype=bool)
@@ -138,13 +142,11 @@ class Index:
         with np.errstate(over="ignore"):
             return ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
 
-    def search(self, text: str, coverage: float = COVERAGE) -> list[tuple[int, float]]:
-        """(item, share of its words found) for items that reach ``coverage``.
+    def search(self, x: np.ndarray, k: np.ndarray, coverage: float = COVERAGE) -> list[tuple[int, float]]:
+        """(item, share of its words found) for items that reach ``coverage`` in a text of these codes and q-grams.
 
         Only items whose regions, were they all to align, would reach it are aligned.
         """
-        x = codes(f" {text} ")
-        k = grams(x)
         if not len(k) or not len(self.keys):
             return []
         hit = np.flatnonzero(self.filter[self._slot(k)])
@@ -157,7 +159,7 @@ class Index:
             return []
         count = self.start[at + 1] - self.start[at]
         first = np.repeat(self.start[at] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        sid, spos, dpos = self.sid[first], self.pos[first], np.repeat(hit, count)
+        sid, spos, dpos = self.sid[first].astype(np.int64), self.pos[first].astype(np.int64), np.repeat(hit, count)
         diagonal = dpos - spos + 1024
         regions, most = [], Counter()
         bound: dict[int, int] = {}
@@ -232,7 +234,7 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, doc_id:
     neighbours, and if the whole is short all of it must be there, and an item under Q characters is never found; a sentence cut off counts by the
     words that are there. Sentences that otherwise different items share are stock and never count as found;
     copies of an item under several ids are sought once and come out under each. The
-    documents are scanned once a block of items, without a shuffle. Null and empty texts hold nothing.
+    documents are scanned once for SCAN_BLOCKS blocks of items, without a shuffle. Null and empty texts hold nothing.
     """
     spark = docs.sparkSession
     held = cut(wholes(items.where(F.col(text).isNotNull()).select(F.col(item_id).alias("i"), F.col(text).alias("t"))))
@@ -240,13 +242,19 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, doc_id:
     blocks = max(1, -(-size // BLOCK_CHARS))
     out_type = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, coverage double"
     pairs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0)
+    block = F.pmod(F.xxhash64("ids"), F.lit(blocks))
     out = None
-    for b in range(blocks):
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in held.where(F.pmod(F.xxhash64("ids"), F.lit(blocks)) == b).sort("ids").collect()]))  # about BLOCK_CHARS characters
+    for at in range(0, blocks, SCAN_BLOCKS):
+        some = range(at, min(at + SCAN_BLOCKS, blocks))
+        indexes = [spark.sparkContext.broadcast(Index([tuple(r) for r in held.where(block == b).sort("ids").collect()])) for b in some]  # about BLOCK_CHARS characters each
 
-        def scan(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pd.DataFrame], indexes=indexes) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                rows = [(d, i, c) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for i, c in index.value.search(t, coverage)]
+                rows = []
+                for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
+                    x = codes(f" {t} ")
+                    k = grams(x)
+                    rows += [(d, i, c) for index in indexes for i, c in index.value.search(x, k, coverage)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "coverage"])
 
         part = pairs.mapInPandas(scan, out_type)
