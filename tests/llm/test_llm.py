@@ -339,6 +339,7 @@ def test_leaks(spark):
 @pytest.mark.parametrize("block", [leakage.BLOCK_CHARS, 150])
 def test_copies_and_stock(spark, monkeypatch, block):
     monkeypatch.setattr(leakage, "BLOCK_CHARS", block)
+    monkeypatch.setattr(leakage, "SCAN_BLOCKS", 2)
     stock = "Read the whole passage above with care and then answer in one word."
     single = "Lacquered barrels stood near Fenwick harbour while idle cranes rusted."
     items = [(1, ITEM), (2, ITEM.upper()), (3, f"{ITEM} Who was it?"), *[(k, f"{single.replace('Fenwick', w)} {stock}") for k, w in ((4, "Fenwick"), (5, "Garrowby"), (6, "Tolmachev"))]]
@@ -355,6 +356,19 @@ def test_short_sentences(spark):
     assert got == {(1, 1), (2, 2), (3, 3)}
 
 
+def test_the_filter_keeps_its_budget(spark):
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 9)))
+    items, docs = [], []
+    for i in range(30):
+        text = " ".join(word() for _ in range(40)).capitalize() + "."
+        at = [int((j + 0.5) * len(text) * 1.0 / (k := int((len(text) - leakage.Q) * leakage.SURE))) for j in range(k)]
+        items.append((i, text))
+        docs.append((i, "Before it. " + "".join("#" if j in at else c for j, c in enumerate(text)).replace("#", "qz"[i % 2]) + " After it."))
+    got = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), coverage=0.01)
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == {(i, i) for i in range(30)}
+
+
 def test_distance_matches_a_full_table():
     def full(a, b):
         row = [0] * (len(b) + 1)
