@@ -362,7 +362,8 @@ def test_the_filter_keeps_its_budget(spark):
     items, docs = [], []
     for i in range(30):
         text = " ".join(word() for _ in range(40)).capitalize() + "."
-        at = [int((j + 0.5) * len(text) * 1.0 / (k := int((len(text) - leakage.Q) * leakage.SURE))) for j in range(k)]
+        k = int((len(text) - leakage.Q) * leakage.SURE)
+        at = [int((j + 0.5) * len(text) / k) for j in range(k)]
         items.append((i, text))
         docs.append((i, "Before it. " + "".join("#" if j in at else c for j, c in enumerate(text)).replace("#", "qz"[i % 2]) + " After it."))
     got = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), coverage=0.01)
