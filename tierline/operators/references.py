@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import heavy_keys, neighbours, quantile_cuts, salted_join
+from ..session import written
+from .skew import heavy_of, neighbours, quantile_cuts, salted_join
 
 #: Stands for "the end of the log" where a reference has no time.
 END = "9999-12-31 23:59:59"
@@ -46,11 +47,12 @@ def orphans(edges: DataFrame, log: DataFrame, row_id: str = "id", fields: tuple[
     time is the end of the log. Repeated rows each come out. Columns: row_id, field_name, key, at.
     """
     refs = references(edges, row_id, list(fields), at)
-    pairs = refs.select("key", "t").distinct()
+    pairs = written(refs.groupBy("key", "t").agg(F.count(F.lit(1)).alias("n")))  # counted once for all that follows
+    by_key = heavy_of(pairs.groupBy("key").agg(F.sum("n").alias("n")), "n", "key")
     spans = existence(log)
     alive = (F.col("t") >= F.col("alive_from")) & (F.col("alive_to").isNull() | (F.col("t") < F.col("alive_to")))
-    missing = salted_join(pairs, spans.withColumnRenamed("parent", "key"), ["key"], "left_anti", heavy_keys(refs, ["key"]), alive, spread=["t"])
-    return salted_join(refs, missing, ["key", "t"], "left_semi", heavy_keys(refs, ["key", "t"]), spread=["row_id", "field_name"]).select("row_id", "field_name", "key", "at")
+    missing = salted_join(pairs.select("key", "t"), spans.withColumnRenamed("parent", "key"), ["key"], "left_anti", by_key, alive, spread=["t"])
+    return salted_join(refs, missing, ["key", "t"], "left_semi", heavy_of(pairs, "n", "key", "t"), spread=["row_id", "field_name"]).select("row_id", "field_name", "key", "at")
 
 
 def orphan_report(edges: DataFrame, log: DataFrame, table: str = "edges", row_id: str = "id", fields: tuple[str, ...] = ("source_id", "target_id"), at: str = "last_verified") -> DataFrame:

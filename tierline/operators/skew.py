@@ -34,11 +34,11 @@ def heavy_keys(df: DataFrame, keys: list[str], share: float = SHARE, least: int
     return df.sparkSession.createDataFrame(rows, df.select(*keys).schema) if rows else None
 
 
-def heavy_of(counts: DataFrame, key: str, n: str, share: float = SHARE, least: int = LEAST) -> DataFrame | None:
-    """As heavy_keys, from a written table of the rows that each key has; keys left out of it must be light, and only lower the bar."""
+def heavy_of(counts: DataFrame, n: str, *keys: str, share: float = SHARE, least: int = LEAST) -> DataFrame | None:
+    """As heavy_keys, from a table of how many rows (``n``) each key has; keys left out of it must be light, and only lower the bar."""
     total = counts.select(F.sum(n)).scalar()
-    rows = counts.where((F.col(n) > F.lit(least)) & (F.col(n) > total * F.lit(share))).select(key).collect()
-    return counts.sparkSession.createDataFrame(rows, counts.select(key).schema) if rows else None
+    rows = counts.where((F.col(n) > F.lit(least)) & (F.col(n) > total * F.lit(share))).select(*keys).collect()
+    return counts.sparkSession.createDataFrame(rows, counts.select(*keys).schema) if rows else None
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str, heavy: DataFrame | None, cond: Column | None = None, spread: list[str] | None = None, salts: int = 32) -> DataFrame:
