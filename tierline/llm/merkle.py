@@ -70,7 +70,7 @@ def _compared(rows: DataFrame, repeated: DataFrame, df: DataFrame, fields: list[
     """(row_id, root, canonical) of the rows whose root is in ``repeated`` (root, n): only there are structures worth comparing."""
     kinds = T.StructType([T.StructField(f, df.schema[f].dataType) for f in fields])
     named = F.struct(*[F.col(f"f_{i}").alias(f) for i, f in enumerate(fields)])
-    again = salted_join(rows, repeated.select("root").hint("merge"), ["root"], "inner", heavy_of(repeated, "root", "n"), spread=["row_id"])
+    again = salted_join(rows, repeated.select("root").hint("merge"), ["root"], "inner", heavy_of(repeated, "n", "root"), spread=["row_id"])
     return cut(again.select("row_id", "root", structure(named, kinds)[1].alias("canonical")))
 
 
@@ -103,5 +103,5 @@ def copies(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
     repeated = cut(rows.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     same = _compared(rows, repeated, df, fields)
     kept = groups(same).where("n_copies > 1").select("root", F.col("canonical").alias("text"), "kept_id")
-    out = salted_join(same, kept.hint("merge"), ["root"], "inner", heavy_of(repeated, "root", "n"), F.col("canonical") == F.col("text"), spread=["row_id"])
+    out = salted_join(same, kept.hint("merge"), ["root"], "inner", heavy_of(repeated, "n", "root"), F.col("canonical") == F.col("text"), spread=["row_id"])
     return out.where("row_id <> kept_id").select("kept_id", F.col("row_id").alias("copy_id"))
