@@ -12,10 +12,20 @@ pytest.importorskip("tierline.llm")
 
 from tests.verify import compare, connect
 from tierline.llm import companies, consensus, encoding, leakage, merkle, minhash, names, packing, queries, vocabulary
+from tierline.operators import skew
 
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(params=[False, True], ids=["plain", "heavy"])
+def heavy(request, monkeypatch):
+    """Runs a test as it is and with every key treated as heavy."""
+    if request.param:
+        monkeypatch.setattr(skew.heavy_keys, "__defaults__", (0, 0))
+        monkeypatch.setattr(skew.heavy_of, "__kwdefaults__", {"share": 0, "least": 0})
+    return request.param
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, name):
     if name in queries.SQL:
@@ -35,7 +45,7 @@ def test_merkle_nested(spark):
     assert merkle.roots(swapped, "id", ["r"]).first().root == merkle.roots(plain, "id", ["r"]).first().root
 
 
-def test_copies(spark):
+def test_copies(spark, heavy):
     rows = [(i, 1, 2, t) for i, t in enumerate(["A b", "b,A", None, "", "-", None, "a-b ä", "Ä B a"])]
     df = spark.createDataFrame(rows, "id bigint, s bigint, t bigint, k string")
     assert sorted(map(tuple, merkle.copies(df, "id", ["s", "t", "k"]).collect())) == [(0, 1), (2, 5), (3, 4), (6, 7)]
@@ -148,7 +158,7 @@ def company_rows(spark):
     return spark.createDataFrame(rows, "id bigint, name string, ticker string, sector string, industry string, market_cap double, last_updated timestamp_ntz")
 
 
-def test_groups_and_survivors(spark):
+def test_groups_and_survivors(spark, heavy):
     df = company_rows(spark).selectExpr("*", "1 AS group_id", "'x' AS core")
     groups = {r.row_id: r.group_id for r in companies.company_groups(df).collect() if r.row_id < 100}
     assert groups == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8}
@@ -158,7 +168,7 @@ def test_groups_and_survivors(spark):
     assert consensus.survivors(df.limit(0)).count() == 0
 
 
-def test_mentions(spark):
+def test_mentions(spark, heavy):
     said = ["Kondtrem Brexzond Mdcl", "Brexzond Kondtrem Medical plc", "Kondtrem Brexznod Foods", "Kondtrem Brexzond", "KBFOO US", "Kondtrem Brexzond Steel", "Nickname", "Unknown Company Paper", "", " ", None]
     m = spark.createDataFrame([(s,) for s in said], "t string")
     a = spark.createDataFrame([("Nickname", 2, "KBMED"), ("Nickname", 1, "KBFOO")], "query_text string, hit_rank int, symbol string")
@@ -237,7 +247,7 @@ def test_candidates_match_brute_force(spark):
     assert got == want and (" ".join(typed[0]), " ".join(firm[-1])) in got and len(want) > 45
 
 
-def test_consensus_by_majority(spark):
+def test_consensus_by_majority(spark, heavy):
     at = datetime(2024, 1, 1)
     vals = ["Alpha Beta Corp", "Alpha Beta Corp", "Alpha Betta Corp", "Alpha Beta Corp Ltd", "The Alpha Beta"]
     df = spark.createDataFrame([(1, "name", v, i, at + timedelta(days=i)) for i, v in enumerate(vals)], "grp bigint, field_name string, value string, row_id bigint, at timestamp_ntz")
@@ -263,7 +273,7 @@ def test_consensus_in_a_tree(spark, monkeypatch, fan_in):
 
 
 # problem 2
-def test_vocabulary(spark):
+def test_vocabulary(spark, heavy):
     terms = spark.createDataFrame([(1, "f", "Raw Materials", "feedstock; base stuff"), (2, "f", "Printed Circuit Boards", None), (3, "f", "Raw Sugar", None), (4, "g", "Raw Materials", None)], "term_id int, field_name string, term string, aka string")
     cases = {"raw materials": 1, "MATERIALS, raw": 1, "Rwa Matreials": 1, "Raw Mtrls": 1, "RawMaterials": 1, "raw mater.": 1, "K012 Raw Materials": 1, "Feedstok": 1, "base stuff": 1, "PCB": 2, "Boards Printed Circuit etc.": 2, "Raw": 0, "Raw Fish": 0, "n/a": 0, "Raw Materials Sugar": 0, "x" * 5000: 0}
     df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)] + [(90, None), (91, "  \t"), (92, "PCB"), (92, "PCB")], "id bigint, f string")
