@@ -30,7 +30,7 @@ def test_query(spark, con, name):
 
 
 def test_all_snapshots_are_stored(spark, con):
-    got = graph_queries.QUERIES["snapshot_upsert_all"](spark, SF)
+    got = graph_queries.QUERIES["snapshot_upsert"](spark, SF)
     stored = con.execute("SELECT count(*) FROM node_snapshots WHERE id NOT IN (SELECT id FROM nodes)").fetchone()[0]
     assert got.count() == stored + con.execute("SELECT count(*) FROM nodes").fetchone()[0]
 
@@ -103,6 +103,8 @@ def test_roster(spark):
     rows = [(1, "AAA", "Alpha", "NYSE", True, True), (2, "AAB", "Alpha", "NYSE", True, True), (3, "BRK.B", "Beta", "NYSE", True, True), (4, "X-P", "Gamma", "NYSE", True, True), (5, "AMX", "Delta", "AMEX", True, True), (6, "NMG", "Eps", "NASDAQ", False, True), (7, "OLD", "Zeta", "BATS", True, True), (8, "NUL", "Eta", "BATS", None, True)]
     r = spark.createDataFrame(rows, "arrival int, symbol string, name string, exchange string, marginable boolean, tradable boolean")
     stored = spark.createDataFrame([("OLD",), (None,), ("",)], "ticker string")
+    kinds = spark.createDataFrame([("us_equity", "active", 1), ("crypto", "active", 2), ("us_equity", None, 3)], "class string, status string, k int")
+    assert [x.k for x in merge.assets(kinds, **{"class": "us_equity", "status": "active"}).collect()] == [1]
     assert [x.symbol for x in merge.roster_merge(merge.roster_filter(r), stored, 0).collect()] == ["AAA"]
 
 

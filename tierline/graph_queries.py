@@ -238,14 +238,8 @@ def payload_merge(s, d):
     return merge.merge_payload(table(s, d, "customer"), _payloads(s, d), "c_custkey", rules).select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment")
 
 
-@query("SELECT id, recommendation FROM node_snapshots WHERE loaded_at < TIMESTAMP '2024-01-01' AND id NOT IN (SELECT id FROM nodes) UNION ALL SELECT id, recommendation FROM nodes")
-def snapshot_upsert(s, d):
-    old = table(s, d, "node_snapshots").where("loaded_at < timestamp_ntz'2024-01-01 00:00:00'").select("id", "recommendation")
-    return merge.snapshot_upsert(old, table(s, d, "nodes").select("id", "recommendation"), ["id"])
-
-
 @query("SELECT id, recommendation FROM node_snapshots WHERE id IS NULL OR id NOT IN (SELECT id FROM nodes WHERE id IS NOT NULL) UNION ALL SELECT id, recommendation FROM nodes")
-def snapshot_upsert_all(s, d):
+def snapshot_upsert(s, d):
     """Every stored snapshot, whenever it was loaded."""
     return merge.snapshot_upsert(table(s, d, "node_snapshots").select("id", "recommendation"), table(s, d, "nodes").select("id", "recommendation"), ["id"])
 
@@ -329,10 +323,16 @@ def page_paragraphs_simple(s, d):
     return table(s, d, "documents").withColumn("h", html).select("doc_id", F.md5(X.paragraphs_simple("h").cast("binary")).alias("digest"))
 
 
-@query()
+@query(
+    "WITH d AS (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(len(l) AS BIGINT) AS n, "
+    f"md5(trim(regexp_replace(array_to_string(list_transform(range(1, len(l) + 1), lambda i: array_to_string(l[i:], '')), ' '), '{X.SPACE}+', ' ', 'g'))) AS digest FROM d"
+)
 def page_paragraphs(s, d):
-    html = F.concat(F.lit("<html><p>"), F.replace("text", F.lit("\n\n"), F.lit("<p>")), F.lit("</html>"))
-    return table(s, d, "documents").select("doc_id", X.paragraphs(html).alias("paragraphs"))
+    """Pages whose paragraphs are never closed, so that each holds those that follow."""
+    escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    html = F.concat(F.lit("<html><p>"), F.replace(escaped, F.lit("\n\n"), F.lit("<p>")), F.lit("</html>"))
+    docs = table(s, d, "documents").where("text is not null")
+    return docs.select("doc_id", F.size(F.split("text", "\n\n")).cast("bigint").alias("n"), F.md5(X.paragraphs(html).cast("binary")).alias("digest"))
 
 
 @query("SELECT dep_id, source_company, target_company, coalesce(dependency_type, 'Unknown') AS dependency_type, coalesce(confidence_score, 0.5) AS confidence_score FROM dependencies WHERE source_company <> '' AND target_company <> ''")

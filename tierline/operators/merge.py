@@ -11,6 +11,14 @@ from ..session import cut
 PAIR = ["source_id", "target_id"]
 
 
+def assets(roster: DataFrame, **wanted: str) -> DataFrame:
+    """Roster rows whose columns have the wanted values, such as an asset class and a status; null is no."""
+    keep = F.lit(True)
+    for c, v in wanted.items():
+        keep = keep & (F.col(c) == v)
+    return roster.where(keep)
+
+
 def roster_filter(roster: DataFrame, exchanges: tuple[str, ...] = ("NASDAQ", "NYSE", "ARCA", "BATS")) -> DataFrame:
     """Plain symbols (no '.' or '-') of the allowed exchanges that are both marginable and tradable; null is no."""
     s = F.col("symbol")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 from .functions import text as X
 from .graph_queries import _DEFAULT, _NUM, _ROSTER, FLOOR, LATE, QUERIES, SECTIONS, SQL, _by_name, _mentions, _roster, query, table
 from .operators import graph, merge, quotes, resolve, screener
+from .sources import curated
 from .sources.connectors import first_answered, prompt, replayed
 from .sources.io import parse_extraction
 
@@ -259,8 +260,13 @@ _PAIRS = "WITH hit AS (SELECT query_text, max(CASE WHEN hit_rank = 1 THEN symbol
 def seed_edges(s, d):
     """Curated pairs of tickers, made of the first two hits of each search."""
     hit = lambda k: F.max(F.when(F.col("hit_rank") == k, F.col("symbol")))
-    curated = table(s, d, "alias_hits").groupBy(F.col("query_text").alias("type")).agg(hit(1).alias("source"), hit(2).alias("target"))
-    return graph.insert_by_ticker(table(s, d, "nodes"), table(s, d, "edges"), curated)
+    pairs = table(s, d, "alias_hits").groupBy(F.col("query_text").alias("type")).agg(hit(1).alias("source"), hit(2).alias("target"))
+    return graph.insert_by_ticker(table(s, d, "nodes"), table(s, d, "edges"), pairs)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in curated.EDGES) + ") t(source, target, type)")
+def curated_edges(s, d):
+    return curated.curated_edges(s)
 
 
 @query("WITH known AS (SELECT DISTINCT name FROM nodes) SELECT dep_id FROM dependencies WHERE source_company IS NULL OR target_company IS NULL OR source_company NOT IN (SELECT name FROM known WHERE name IS NOT NULL) OR target_company NOT IN (SELECT name FROM known WHERE name IS NOT NULL)")
