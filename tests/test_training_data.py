@@ -152,3 +152,11 @@ def test_filling_beats_the_mean(spark):
         F.avg(F.when(hidden("sector"), (F.lower("sector") == F.lower("v_sector")).cast("int"))).alias("sector"),
     ).first()
     assert e.pe < 0.6 * e.pe0 and e.gm < 0.85 * e.gm0 and e.sector > 0.75, e
+
+
+def test_categories_of_like_size_are_told_apart(spark):
+    """Two sectors of the same market cap that differ in another feature."""
+    rows = [(i, f"Firm {i}", None if i % 10 == 0 else ("A" if i % 2 else "B"), None, None, None, 1e9 * (1 + i % 7), 1e6 * (1 + i % 5), 10.0 if i % 2 else 40.0, None, None, None) for i in range(1, 201)]
+    rows += [(1000 + i, f"Odd {i}", None, None, None, None, 1e9 * (1 + i % 7), 1e6 * (1 + i % 5), 10.0 if i % 2 else 40.0, None, None, None) for i in range(20)]
+    got = {r.row_id: r.value_text for r in impute.impute_nodes(spark.createDataFrame(rows, NODE)).where("field_name = 'sector'").collect()}
+    assert all(got[1000 + i] == ("A" if i % 2 else "B") for i in range(20)) and len(got) == 40

@@ -79,6 +79,28 @@ class _Fit:
             yield pdf[["field_name", "fit_group"]].assign(beta=[self.beta(f, v) for f, v in zip(pdf["field_name"], pdf["stats"], strict=True)])
 
 
+def _codes(cells: DataFrame, k: int) -> DataFrame:
+    """(field_name, text, code): the mean of each category's features, projected on the first axis of the scatter between categories.
+
+    The scatter is one row of about k * k / 2 numbers a field, which is what reaches the driver; the categories stay where they are.
+    """
+    features = [F.element_at("x", i + 2) for i in range(k)]
+    means = cells.where("text is not null").groupBy("field_name", "text").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(f) for f in features]).alias("m"))
+    m, pairs = (lambda i: F.col("m")[i]), [(i, j) for i in range(k) for j in range(i, k)]
+    sums = means.groupBy("field_name").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("n") * m(i)) for i in range(k)]).alias("one"), F.array(*[F.sum(F.col("n") * m(i) * m(j)) for i, j in pairs]).alias("two"))
+    axes = []
+    for r in sums.collect():
+        mu, b = np.array(r["one"]) / r["n"], np.zeros((k, k))
+        for (i, j), v in zip(pairs, r["two"], strict=True):
+            b[i, j] = b[j, i] = v / r["n"]
+        axis = np.linalg.eigh(b - np.outer(mu, mu))[1][:, -1]
+        axes += [F.lit(r["field_name"]), F.array(*[F.lit(float(v)) for v in axis * (1 if axis[np.abs(axis).argmax()] > 0 else -1)])]
+    if not axes:
+        return means.select("field_name", "text", F.lit(0.0).alias("code"))
+    along = F.zip_with("m", F.element_at(F.create_map(*axes), F.col("field_name")), lambda p, q: p * q)
+    return means.select("field_name", "text", F.aggregate(along, F.lit(0.0), lambda s, v: s + v).alias("code"))
+
+
 def impute(df: DataFrame, row_id: str, numeric: dict[str, Column], categorical: dict[str, Column], features: dict[str, Column], groups: dict[str, list[Column | None]], fit_group: Column, ridge: float = 1.0, prior: float = 30.0) -> DataFrame:
     """One row per missing cell: row_id, field_name, value_num, value_text, donor_id, level.
 
@@ -89,7 +111,7 @@ def impute(df: DataFrame, row_id: str, numeric: dict[str, Column], categorical:
 
     Predictive mean matching: a ridge regression per field and group, fitted on sums of products
     (combined map-side, a few dozen numbers a group) and shrunk towards the fit over all rows, predicts
-    every row. A categorical field is coded by the mean of the first feature in each category. A cell
+    every row. A categorical field is coded by the means of its categories along the direction in which they differ most. A cell
     takes the observed value of the donor with the nearest prediction within the first group that has a
     donor; at equal distance the donor below. Donors are found by sorting predictions within groups, so
     no pairs are formed; groups of a large share of the rows are sorted range by range. Where a field
@@ -115,8 +137,7 @@ def impute(df: DataFrame, row_id: str, numeric: dict[str, Column], categorical:
         return F.struct(F.lit(f).alias("field_name"), num.alias("num"), text.alias("text"), F.array(*keys).alias("keys"))
 
     cells = base.select("row_id", "fit_group", "x", F.explode(F.array(*[cell(f) for f in fields])).alias("c")).select("row_id", "fit_group", "x", "c.*")
-    codes = cells.where("text is not null").groupBy("field_name", "text").agg(F.avg(F.element_at("x", 2)).alias("code"))
-    cells = cells.join(codes, ["field_name", "text"], "left").withColumn("y", F.coalesce("num", "code"))
+    cells = cells.join(_codes(cells, len(names)), ["field_name", "text"], "left").withColumn("y", F.coalesce("num", "code"))
 
     pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
     at = lambda i: F.col("x")[i]
