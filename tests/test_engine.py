@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.verify import compare, connect
 from tierline import graph_queries, queries, view_queries
 from tierline.functions import text as X
-from tierline.operators import graph, merge, quotes, resolve, screener
+from tierline.operators import graph, merge, quotes, resolve, screener, skew
 from tierline.sources import connectors, io, schemas
 
 SF = "/root/testdata/sf0.001"
@@ -210,6 +210,17 @@ def test_connectors(spark):
     spark.sql("DROP DATABASE made CASCADE")
 
 
+def test_ranks(spark):
+    r = random.Random(6)
+    rows = [(i, r.choice(["a", "a", "a", "b", None]), r.choice([None, 1.0, 2.0, 3.0])) for i in range(300)]
+    got = skew.ranked(spark.createDataFrame(rows, "id int, k string, x double"), ["k"], [F.col("x").desc_nulls_last(), F.col("id").asc()], "place")
+    want: dict = {}
+    for k in ("a", "b", None):
+        for place, (i, _, _) in enumerate(sorted((x for x in rows if x[1] == k), key=lambda x: (x[2] is None, -(x[2] or 0), x[0])), 1):
+            want[i] = place
+    assert {x.id: x.place for x in got.collect()} == want
+
+
 def test_ids_and_writers(spark, tmp_path):
     new = spark.createDataFrame([(i * 7 % 101, f"n{i}") for i in range(101)], "seen bigint, name string")
     stored = spark.createDataFrame([(41,), (7,)], "id bigint")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import cut
+from .skew import ranked
 
 PAIR = ["source_id", "target_id"]
 
@@ -48,19 +48,9 @@ def insert_if_absent(stored: DataFrame, batch: DataFrame, order: list[str], dedu
 
 
 def next_ids(rows: DataFrame, stored: DataFrame, order: str, out: str = "id") -> DataFrame:
-    """Surrogate keys max(stored id) + 1, 2, ... by ``order`` (distinct values), without sorting all rows in one task.
-
-    Rows are range-partitioned by ``order`` and written once with the number of their partition, so that it stays what it is
-    whatever task runs again; each partition starts after the rows of those before it, known from one count a partition.
-    """
-    spark = rows.sparkSession
+    """Surrogate keys max(stored id) + 1, 2, ... by ``order`` (distinct values), without sorting all rows in one task (see skew.ranked)."""
     start = stored.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("m")).first()["m"]
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = cut(rows.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id()))
-    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__lo"))
-    before = counts.select("__part", (F.lit(start) + F.sum("__n").over(W.orderBy("__lo")) - F.col("__n")).alias("__before"))  # one row a partition
-    within = F.row_number().over(W.partitionBy("__part").orderBy(order))
-    return ranged.withColumn("__k", within).join(F.broadcast(before), "__part").withColumn(out, (F.col("__before") + F.col("__k")).cast("bigint")).drop("__part", "__k", "__before")
+    return ranked(rows, [], [F.col(order).asc()], out).withColumn(out, F.col(out) + F.lit(start))
 
 
 def get_or_create(nodes: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions.text import clean_number, date_label, or_default
 from .graph import links
 from .resolve import substring_matches
+from .skew import ranked
 
 #: Columns that a table can be sorted by; texts ascend first, numbers descend.
 SORTABLE = ("name", "ticker", "current_price", "percent_change", "market_cap", "trailing_pe")
@@ -52,12 +52,15 @@ def sort_table(nodes: DataFrame, column: str, descending: bool, collation: str |
 
 
 def positions_in_sector(nodes: DataFrame) -> DataFrame:
-    """(id, sector, by_<column>): the place of each company in its sector's table under each sortable column's first direction.
+    """(id, sector, by_<column>): the place of each company in its sector's table under each sortable column's first direction; ids are unique.
 
-    A sector is one table on a screen; its rows are ranked in one sorted partition that can spill.
+    Each ranking is a range-partitioned sort, so that a sector of any size is no task of its own.
     """
-    ranks = {f"by_{c}": F.row_number().over(W.partitionBy("sector").orderBy(*order_by(c, c not in ("name", "ticker")))) for c in SORTABLE}
-    return nodes.withColumns(ranks).select("id", "sector", *ranks)
+    out = nodes.select("id", "sector")
+    for c in SORTABLE:
+        places = ranked(nodes.select("id", "sector", c), ["sector"], order_by(c, c not in ("name", "ticker")), f"by_{c}").select("id", f"by_{c}")
+        out = out.join(places, "id")
+    return out
 
 
 def searches(nodes: DataFrame, terms: DataFrame, least: int = 2) -> DataFrame:

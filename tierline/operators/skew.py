@@ -148,3 +148,19 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str
         .withColumn(out, (F.sum(value).over(frame(*keys, "__block")) + F.coalesce("__before", F.lit(0))).cast("bigint"))
         .drop("__before", "__block", "__cut")
     )
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
+    """``df`` with the place (from 1) of each row in its key by ``order``, whose values are distinct in a key; no key is sorted in one task.
+
+    Rows are range-partitioned by key and order and written once with the number of their partition, so that it stays what
+    it is whatever task runs again; each partition counts on from the rows of its key in those before it. Null is a key.
+    """
+    tasks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut(df.repartitionByRange(tasks, *keys, *order).withColumn("__part", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    frame = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # at most one row a partition for each key
+    before = counts.select(*[F.col(k).alias(f"__r_{k}") for k in keys], F.col("__part").alias("__r_part"), F.coalesce(F.sum("__n").over(frame), F.lit(0)).alias("__before"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys], F.col("__part") == F.col("__r_part"))
+    within = ranged.withColumn("__k", F.row_number().over(W.partitionBy(*keys, "__part").orderBy(*order)))
+    return within.join(before, same).withColumn(out, (F.col("__before") + F.col("__k")).cast("bigint")).drop("__part", "__k", "__before", "__r_part", *[f"__r_{k}" for k in keys])

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 from .functions import text as X
 from .graph_queries import _DEFAULT, _NUM, _ROSTER, FLOOR, LATE, QUERIES, SECTIONS, SQL, _by_name, _mentions, _roster, query, table
 from .operators import graph, merge, quotes, resolve, screener
+from .operators.skew import ranked
 from .sources import curated
 from .sources.connectors import first_answered, prompt, replayed
 from .sources.io import parse_extraction
@@ -141,8 +142,8 @@ def export_sector_grid(s, d):
 @query(f"WITH {_EXPORTED} SELECT id, name, ticker, market_cap, row_number() OVER (ORDER BY market_cap DESC NULLS LAST, id) AS place FROM exported WHERE sector = 'Technology'")
 def sector_table(s, d):
     """One sector's table in the default order, with the place of each row."""
-    rows = _exported(s, d).where("sector = 'Technology'")
-    return rows.select("id", "name", "ticker", "market_cap", F.row_number().over(W.orderBy(*screener.order_by("market_cap", True))).cast("bigint").alias("place"))
+    rows = _exported(s, d).where("sector = 'Technology'").select("id", "name", "ticker", "market_cap")
+    return ranked(rows, [], screener.order_by("market_cap", True), "place")
 
 
 @query(f"WITH {_EXPORTED} SELECT id, name, count(*) OVER () AS n_found FROM exported WHERE contains(lower(name), 'steel') OR contains(lower(ticker), 'steel')")
