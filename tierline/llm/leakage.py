@@ -133,6 +133,9 @@ class Index:
         order = np.argsort(flat, kind="stable")
         self.sid, self.pos = sid[order].astype(np.int32), pos[order].astype(np.int32)
         self.keys, self.start = np.unique(flat[order], return_index=True)
+        # how often a q-gram stands in one sentence at most
+        runs = np.flatnonzero(np.diff(flat[order], prepend=flat[order][:1] ^ np.uint64(1)).astype(bool) | (np.diff(self.sid, prepend=-1) != 0)) if len(flat) else np.zeros(0, dtype=int)
+        self.often = np.maximum.reduceat(np.diff(runs, append=len(flat)), np.searchsorted(runs, self.start)) if len(flat) else runs
         self.start = np.append(self.start, len(flat))
         self.filter = np.zeros(1 << 22, dtype=bool)
         self.filter[self._slot(self.keys)] = True
@@ -155,11 +158,16 @@ class Index:
         at = np.minimum(np.searchsorted(self.keys, k[hit]), len(self.keys) - 1)
         same = self.keys[at] == k[hit]
         hit, at = hit[same], at[same]
-        if len(hit) < self.least:
+        if not self._crowded(hit, self.often[at]):
             return []
         count = self.start[at + 1] - self.start[at]
         first = np.repeat(self.start[at] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
         sid, spos, dpos = self.sid[first].astype(np.int64), self.pos[first].astype(np.int64), np.repeat(hit, count)
+        # a sentence needs its number of q-grams before it is worth a look where they lie
+        there = (np.bincount(sid, minlength=len(self.need)) >= self.need)[sid]
+        sid, spos, dpos = sid[there], spos[there], dpos[there]
+        if not len(sid):
+            return []
         diagonal = dpos - spos + 1024
         regions, most = [], Counter()
         bound: dict[int, int] = {}
@@ -187,6 +195,16 @@ class Index:
             found[self.item[s]] += w
         return [(i, w / self.total[k]) for k, w in found.items() if w >= coverage * self.total[k] for i in self.ids[k]]
 
+    def _crowded(self, hit: np.ndarray, often: np.ndarray) -> bool:
+        """Whether some ``least`` hits lie close enough together for a region.
+
+        A region of n hits spans n / DENSITY + BAND places of the document at most; cut into groups of ``least``
+        hits, one group spans no more than its share of that, and 2 * least - 1 hits still are one group.
+        """
+        n = self.least
+        at = np.repeat(hit, often) if (often > 1).any() else hit
+        return len(at) >= n and int((at[n - 1 :] - at[: len(at) - n + 1]).min()) <= 2 * n / DENSITY + BAND
+
     def _verify(self, s: int, x: np.ndarray, spos: np.ndarray, dpos: np.ndarray) -> int:
         """Words of sentence s that stand in the region of these shared q-grams, 0 if it doesn't align within the edit budget."""
         a, b = int(spos.min()), int(spos.max()) + Q
