@@ -10,11 +10,11 @@ from xxhash import xxh3_64_intdigest
 
 from ..operators.skew import heavy_keys, salted_join
 from ..session import cut
-from .minhash import band_keys, bands_for
+from .minhash import band_keys, tuned
 from .names import CONSONANTS, FORMS, letters, lexicon_of, monge_elkan, osa, parse, skeleton, slack, ticker_of
 
-#: Padded q-grams of the joined core words; values to a band; the Jaccard similarity (two edits in a dozen letters) and the recall that the bands are tuned to.
-Q, ROWS, SIMILARITY, RECALL = 2, 4, 0.5, 0.97
+#: Padded q-grams of the joined core words; the Jaccard similarity (two edits in a dozen letters) and the recall that the bands are tuned to, and the similarity of unlike names, as measured.
+Q, SIMILARITY, RECALL, BACKGROUND = 2, 0.5, 0.97, 0.1
 #: Least Monge–Elkan similarity of names that can mean one company, and the most edits of a word in it.
 LEAST, EDITS = 0.8, 2
 #: A word describes and does not name if it stands with this share of the distinct names, and with so many of them.
@@ -116,7 +116,7 @@ def candidates(vertices: DataFrame, keep: list[str]) -> DataFrame:
     verified by Monge–Elkan, those first set aside inside the JVM that cannot reach LEAST by a bound (see _within_reach).
     No pair that met is lost otherwise.
     """
-    keys = band_keys(Q, ROWS, bands_for(SIMILARITY, ROWS, RECALL))
+    keys = band_keys(Q, *tuned(vertices.where("face").count(), SIMILARITY, RECALL, BACKGROUND))
     joined = F.regexp_replace("words", " ", "")
     tasks = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the hashing is work for all, however few bytes the names have
     spread = cut(vertices.repartition(tasks).select("v", "face", "bits", "slack", F.when(F.col("trade") != "", F.xxhash64("trade")).otherwise(0).alias("th"), F.array_distinct(F.concat(keys(joined), whole_keys("words"))).alias("keys")))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Q-grams hashed at a time: bounds the memory of a batch and of a very long text.
 STEP = 4096
+#: Fewest values to a band.
+SHORTEST = 4
 
 
 def bands_for(similarity: float, rows: int, recall: float) -> int:
@@ -20,6 +22,17 @@ def bands_for(similarity: float, rows: int, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
+def tuned(others: int, similarity: float, recall: float, background: float, pair: float = 0.05) -> tuple[int, int]:
+    """(values to a band, bands) that reach ``recall`` at ``similarity`` with the least work where each set meets ``others`` unlike ones.
+
+    The work of a set are its bands, and ``pair`` of a band's for each unlike set that it collides with by the same curve at
+    the ``background`` similarity. So as sets get more, bands get longer, and collisions by chance stay in proportion to the bands.
+    """
+    cost = lambda rows: (bands := bands_for(similarity, rows, recall)) * (1 + pair * others * background**rows)
+    rows = min(range(SHORTEST, 13), key=cost)
+    return rows, bands_for(similarity, rows, recall)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
