@@ -136,11 +136,14 @@ def test_osa_matches_a_full_table():
 
 def test_collision_curve(spark):
     assert minhash.bands_for(0.5, 4, 0.97) == 55
+    assert [minhash.tuned(n, 0.5, 0.97, 0.1) for n in (0, 40_000, 1_000_000)] == [(4, 55), (4, 55), (5, 111)]
+    by_chance = [n * 0.1 ** minhash.tuned(n, 0.5, 0.97, 0.1)[0] for n in (10**4, 10**6, 10**8, 10**10)]  # a band
+    assert max(by_chance) < 60
     r = random.Random(2)
     words = ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(14)) for _ in range(400)]
     typos = [w[:4] + "z" + w[5:9] + "y" + w[10:] for w in words]  # two edits
     df = spark.createDataFrame([(i, w, 0) for i, w in enumerate(words)] + [(i, w, 1) for i, w in enumerate(typos)], "i int, w string, s int")
-    keys = df.select("i", "s", minhash.band_keys(companies.Q, companies.ROWS, 55)("w").alias("k")).collect()
+    keys = df.select("i", "s", minhash.band_keys(companies.Q, 4, 55)("w").alias("k")).collect()
     by = {(x.i, x.s): set(x.k) for x in keys}
     assert np.mean([bool(by[i, 0] & by[i, 1]) for i in range(400)]) > 0.93
     assert spark.createDataFrame([(None,), ("",)], "w string").select(minhash.band_keys(2, 4, 3)("w").alias("k")).where("size(k) > 0").count() == 0
@@ -238,7 +241,7 @@ def test_candidates_match_brute_force(spark):
     typed += [tuple(w[:i] + "z" + w[i + 1 :] for w, i in zip(f, (1, 3, 5), strict=True)) for f in firm]
     rows = [(" ".join(c), c in firm, names.letters(c), names.slack(c, companies.LEAST, companies.EDITS)) for c in dict.fromkeys(firm + typed)]
     vertices = spark.createDataFrame(rows, "words string, face boolean, bits bigint, slack int").selectExpr("cast(words as binary) AS v", "*", "'' AS trade")
-    keys = minhash.band_keys(companies.Q, companies.ROWS, minhash.bands_for(companies.SIMILARITY, companies.ROWS, companies.RECALL))
+    keys = minhash.band_keys(companies.Q, *minhash.tuned(len(firm), companies.SIMILARITY, companies.RECALL, companies.BACKGROUND))
     bands = {tuple(x.words.split()): set(x.k) for x in vertices.select("words", keys(F.regexp_replace("words", " ", "")).alias("k")).collect()}
     meet = lambda a, b: bands[a] & bands[b] or sorted("".join(a)) == sorted("".join(b))
     alike = lambda a, b: meet(a, b) and names.monge_elkan(a, b, companies.EDITS) >= companies.LEAST
@@ -380,6 +383,12 @@ def test_the_filter_keeps_its_budget(spark):
     assert {(x.doc_id, x.item_id) for x in got.collect()} == {(i, i) for i in range(30)}
 
 
+def test_repeated_grams(spark):
+    items = spark.createDataFrame([(1, "Tick tock tick tock tick tock tick tock tick tock tick tock tick tock."), (2, "Ha ha ha ha ha ha ha ha ha ha ha ha ha ha ha ha ha ha.")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "So the clock went tick tock tick tock tick tock tick tock tick tock tick tock tick tock. Then it stopped."), (2, "x " * 500 + "ha ha ha ha ha ha ha ha ha ha ha ha ha ha ha ha ha ha. End."), (3, "tick and tock and tick, ha and ha and ha")], "doc_id bigint, text string")
+    assert {(x.doc_id, x.item_id) for x in leakage.leaks(docs, items).collect()} == {(1, 1), (2, 2)}
+
+
 def test_distance_matches_a_full_table():
     def full(a, b):
         row = [0] * (len(b) + 1)
