@@ -85,7 +85,7 @@ def _codes(cells: DataFrame, k: int) -> DataFrame:
     The scatter is one row of about k * k / 2 numbers a field, which is what reaches the driver; the categories stay where they are.
     """
     features = [F.element_at("x", i + 2) for i in range(k)]
-    means = cells.where("text is not null").groupBy("field_name", "text").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(f) for f in features]).alias("m"))
+    means = cut(cells.where("text is not null").groupBy("field_name", "text").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(f) for f in features]).alias("m")))
     m, pairs = (lambda i: F.col("m")[i]), [(i, j) for i in range(k) for j in range(i, k)]
     sums = means.groupBy("field_name").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("n") * m(i)) for i in range(k)]).alias("one"), F.array(*[F.sum(F.col("n") * m(i) * m(j)) for i, j in pairs]).alias("two"))
     axes = []
