@@ -17,6 +17,8 @@ from .names import CONSONANTS, FORMS, letters, lexicon_of, monge_elkan, osa, par
 Q, SIMILARITY, RECALL, BACKGROUND = 2, 0.5, 0.97, 0.1
 #: Least Monge–Elkan similarity of names that can mean one company, and the most edits of a word in it.
 LEAST, EDITS = 0.8, 2
+#: Letters of a name up to which a bound by Spark's own edit distance, whose time grows with their square, is worth its while.
+WORTH = 128
 #: A word describes and does not name if it stands with this share of the distinct names, and with so many of them.
 COMMON, SEVERAL = 1 / 200, 5
 
@@ -87,7 +89,8 @@ def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
 def _within_reach(l: str, r: str) -> Column:
     """Whether likeness can reach LEAST for two cores: whole in some rotation, by consonants, or word by word in any order.
 
-    A swap is one edit there and two in Levenshtein's distance, so twice the edits are let through.
+    A swap is one edit there and two in Levenshtein's distance, so twice the edits are let through, and so are pairs
+    of more than WORTH letters, for which the bound costs more than the measure.
     """
     a, b = F.split(l, " "), F.split(r, " ")
     one, n = F.regexp_replace(l, " ", ""), F.size(F.split(r, " "))
@@ -103,7 +106,7 @@ def _within_reach(l: str, r: str) -> Column:
         best = F.transform(xs, lambda x: F.array_max(F.transform(ys, lambda y: most(x, y))))
         return F.aggregate(best, F.lit(0.0), lambda total, s: total + s) / F.size(xs) >= LEAST - 1e-9
 
-    return whole | (bare(l) == bare(r)) | ((F.size(a) == n) & (n > 1) & by_word(a, b) & by_word(b, a))
+    return F.when(F.greatest(F.length(l), F.length(r)) > WORTH, True).otherwise(whole | (bare(l) == bare(r)) | ((F.size(a) == n) & (n > 1) & by_word(a, b) & by_word(b, a)))
 
 
 def candidates(vertices: DataFrame, keep: list[str]) -> DataFrame:

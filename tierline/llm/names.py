@@ -88,10 +88,14 @@ class Lexicon:
         self.words = frozenset(words)
         self.bones = {w: bones(w) for w in sorted(words)}
         self.masks = {w: _there(w) for w in self.bones}
-        self.kin = lru_cache(maxsize=200_000)(self._kin)
+        self.longest = max(map(len, words), default=0) + 2
+        self._known = lru_cache(maxsize=200_000)(self._kin)
 
-    def _kin(self, token: str) -> str:
+    def kin(self, token: str) -> str:
         """The descriptor that a token is, abbreviates or misspells; '' if none or if several fit equally."""
+        return self._known(token) if len(token) <= self.longest else ""
+
+    def _kin(self, token: str) -> str:
         if token in self.words:
             return token
         n = len(token)
@@ -147,36 +151,35 @@ def parse(name: str, lexicon: Lexicon) -> tuple[tuple[str, ...], str]:
     s = re.sub(r"&\s*co\b\.?", " ", s)
     s = re.sub(r"\b([a-z])\.([a-z])\b\.?", r"\1\2", s).replace("'", "")
     tokens = re.findall(r"[^\W_]+", s)
-    while len(tokens) > 1 and tokens[0] == "the":
-        tokens = tokens[1:]
-    moved = next((i for i, t in enumerate(tokens[:4]) if t == "of"), 0)
-    if moved and any(lexicon.kin(t) for t in tokens[:moved]):  # "Paper of X Y"
-        tokens = tokens[moved + 1 :] + tokens[:moved]
-    else:
-        moved = 0
+    lo, hi = 0, len(tokens)
+    while hi - lo > 1 and tokens[lo] == "the":
+        lo += 1
+    moved = next((i for i in range(lo, min(lo + 4, hi)) if tokens[i] == "of"), lo)
+    if moved > lo and any(lexicon.kin(t) for t in tokens[lo:moved]):  # "Paper of X Y"
+        tokens = [t for i, t in enumerate(tokens[moved + 1 :] + tokens[lo:moved]) if i == 0 or t not in LEGAL]
+        lo, hi = 0, len(tokens)
     before = None
-    while before != tokens:
-        before = tokens
+    while before != hi:
+        before = hi
         for end in SHARES:
-            if len(tokens) > len(end) and tuple(tokens[-len(end) :]) == end:
-                tokens = tokens[: -len(end)]
-        if len(tokens) > 1 and (tokens[-1] in LEGAL or (len(tokens[-1]) >= 6 and any(osa(tokens[-1], w, 1) <= 1 for w in ("corporation", "limited", "holdings")))):
-            tokens = tokens[:-1]
-        if moved:  # legal forms that followed the core now stand inside
-            tokens = [t for i, t in enumerate(tokens) if i == 0 or t not in LEGAL]
+            if hi - lo > len(end) and tuple(tokens[hi - len(end) : hi]) == end:
+                hi -= len(end)
+        if hi - lo > 1 and (tokens[hi - 1] in LEGAL or (len(tokens[hi - 1]) >= 6 and any(osa(tokens[hi - 1], w, 1) <= 1 for w in ("corporation", "limited", "holdings")))):
+            hi -= 1
     said: set[str] = set()
 
-    def peel(tokens: list[str], at: int) -> list[str]:
-        while len(tokens) > 1 and (w := lexicon.kin(tokens[at])):
-            if said and len(tokens) < 3 and osa(tokens[at], w, 1) > 1:  # one core word is left: no second abbreviation
-                break
-            said.add(w)
-            tokens = tokens[:-1] if at else tokens[1:]
-        return tokens
+    def descriptor(token: str) -> str:
+        w = lexicon.kin(token)
+        return "" if w and said and hi - lo < 3 and osa(token, w, 1) > 1 else w  # one core word is left: no second abbreviation
 
-    tokens = peel(tokens, -1)
+    while hi - lo > 1 and (w := descriptor(tokens[hi - 1])):
+        said.add(w)
+        hi -= 1
     if not said:
-        tokens = peel(tokens, 0)
+        while hi - lo > 1 and (w := descriptor(tokens[lo])):
+            said.add(w)
+            lo += 1
+    tokens = tokens[lo:hi]
     core = tuple(t.translate(DIGITS) if re.search("[a-z]", t) else t for t in tokens)
     return core, " ".join(sorted(said))
 
