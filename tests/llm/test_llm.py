@@ -188,6 +188,13 @@ def test_names_off_any_list(spark):
     assert {r.text: r.group_id for r in companies.link_mentions(m, "t", df, a).collect()} == {"microsoft inc": 2, "Sachs Goldman": 0, "Acme Txtls": 4}
 
 
+def test_very_long_names(spark):
+    words = [f"w{i}" for i in range(800)]
+    said = ["Long " + "w" * 20_000, "Long " + "w" * 19_999, " ".join(words), " ".join(words[:-1]) + " wz", "the " * 5000, "Acme Foo", "acme foo " * 3000]
+    df = spark.createDataFrame([(i, n, None, None, None, None) for i, n in enumerate(said)], "id bigint, name string, ticker string, sector string, industry string, market_cap double").selectExpr("*", "1 AS v", "2 AS words", "3 AS t", "4 AS company")
+    assert {r.row_id: r.group_id for r in companies.company_groups(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5, 6: 6}
+
+
 def test_descriptors(spark):
     df = company_rows(spark)
     assert companies.descriptors(df, "name") == ("foods", "medical", "paper", "steel") and companies.descriptors(df.limit(0), "name") == ()
