@@ -1,8 +1,10 @@
 """The subpackage's operators on small fixtures, against brute force, exact round trips and each query's SQL."""
 
 import random
+import time
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -257,6 +259,51 @@ def test_candidates_match_brute_force(spark):
     assert got == want and (" ".join(typed[0]), " ".join(firm[-1])) in got and len(want) > 45
 
 
+def test_bands_a_few_at_a_time(spark, monkeypatch):
+    r = random.Random(13)
+    words = ["".join(r.choice("bdklmnrst") + r.choice("aeiou") for _ in range(4)) for _ in range(60)]
+    firm = [" ".join(words[i : i + 2]) for i in range(0, 60, 2)]
+    typed = [f[:i] + "z" + f[i + 1 :] for f in firm for i in (1, 3, 5)] + [f.replace("a", "").replace("e", "") for f in firm]
+    rows = [(f"{i:04}", w, i < 30, names.letters(c := tuple(w.split())), names.slack(c, companies.LEAST, companies.EDITS)) for i, w in enumerate(dict.fromkeys(firm + typed))]
+    vertices = spark.createDataFrame(rows, "v string, words string, face boolean, bits bigint, slack int").withColumn("trade", F.lit("")).repartition(3)
+    joined, join = [], companies.salted_join
+    monkeypatch.setattr(companies, "salted_join", lambda left, *a, **k: joined.append(left.count()) or join(left, *a, **k))
+    results = []
+    for abreast, whole in ((1, 10**6), (5, 0), (5, 15 * len(rows)), (60, 0)):
+        monkeypatch.setattr(companies, "ABREAST", abreast, raising=False)
+        monkeypatch.setattr(companies, "WHOLE", whole, raising=False)
+        joined.clear()
+        results.append(sorted((x.l, x.r, x.like, x.l_face) for x in companies.candidates(vertices, ["face"]).collect()))
+        most = max(abreast, whole // len(rows))
+        assert max(joined) <= most * len(rows) and len(joined) == -(-57 // most)  # what is spread follows the names, not the bands
+    assert results[0] == results[1] == results[2] == results[3] and len(results[0]) > 80 and len({x[:2] for x in results[0]}) == len(results[0])
+
+
+def test_bands_by_parts(spark):
+    df = spark.createDataFrame([("kondtrembrexzond",), ("ab",), ("",), (None,)], "w string")
+    whole, *parts = (df.select(k("w").alias("k")).collect() for k in (minhash.band_keys(2, 4, 7), minhash.band_keys(2, 4, 3), minhash.band_keys(2, 4, 4, first=3)))
+    assert [x.k for x in whole] == [x.k + y.k for x, y in zip(*parts, strict=True)] and len(whole[0].k) == 7
+
+
+def test_mentions_leave_no_files(spark):
+    from tierline import session
+
+    left, jvm = Path(session._folder(spark).removeprefix("file:")), spark._jvm
+    shuffles = lambda: sum(f.getName().startswith("shuffle_") for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    m = spark.createDataFrame([("Kondtrem Brexzond Mdcl",), ("KBFOO US",)], "t string")
+    a = spark.createDataFrame([], "query_text string, hit_rank int, symbol string")
+    tables, files = set(left.iterdir()), shuffles()
+    found = companies.link_mentions(m, "t", company_rows(spark), a)
+    new = set(left.iterdir()) - tables
+    assert len(new) == 1 and next(iter(new)).name.startswith("table-")  # the result
+    for _ in range(100):  # files are removed beside the work
+        if shuffles() <= files:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= files
+    assert {x.text: x.group_id for x in found.collect()} == {"Kondtrem Brexzond Mdcl": 1, "KBFOO US": 4}
+
+
 def test_consensus_by_majority(spark, heavy):
     at = datetime(2024, 1, 1)
     vals = ["Alpha Beta Corp", "Alpha Beta Corp", "Alpha Betta Corp", "Alpha Beta Corp Ltd", "The Alpha Beta"]
