@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tests.verify import compare, connect
@@ -29,6 +30,29 @@ def test_query(spark, con, name):
         assert ALL[name](spark, SF).count() > 0
 
 
+#: Queries whose tables all grow: no side of a join may be broadcast on a plan's guess of its size.
+NO_BROADCAST = ["resolve_candidates"]
+
+
+@pytest.mark.parametrize("name", NO_BROADCAST)
+def test_no_growing_side_is_broadcast(spark, monkeypatch, name):
+    plans, real = [], DataFrameWriter.parquet
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (plan(self._df), real(self, *a, **k))[1])
+    plan(ALL[name](spark, SF))
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_substrings_of_every_length(spark):
+    texts = [None, "", "a", "Ab", "abc", "abcd", "ABCDE", "abcdefgh", "xabcdefghi", "abcdefg abcdefgh", "ÄÖÜ % _ 𝄞x", "aaaaaaaaaaaa"]
+    nodes = spark.createDataFrame([(i, t, u) for i, (t, u) in enumerate(zip(texts, reversed(texts), strict=True))], "id int, name string, ticker string")
+    terms = sorted({t[i:j] for t in texts if t for i in range(len(t)) for j in range(i + 1, len(t) + 1)} | {"zz", "abcdefghq", "qabcdefgh", "abcdxfgh", "aaaaaaaaaaaaa"})
+    m = spark.createDataFrame([(t, t.lower()) for t in terms], "mention string, low string")
+    want = sorted({(t, r.id) for t in terms for r in nodes.collect() if any(t.lower() in (x or "").lower() for x in (r.name, r.ticker))})
+    assert sorted({(r.mention, r.id) for r in resolve.substring_matches(m, nodes).collect()}) == want
+    assert resolve.substring_matches(m.where("false"), nodes).count() == 0
+
+
 def test_all_snapshots_are_stored(spark, con):
     got = graph_queries.QUERIES["snapshot_upsert"](spark, SF)
     stored = con.execute("SELECT count(*) FROM node_snapshots WHERE id NOT IN (SELECT id FROM nodes)").fetchone()[0]

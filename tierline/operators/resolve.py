@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import cut, scratch, written
 from .skew import heavy_keys, salted_join
 
+#: Lengths of the q-grams by which texts are sought; longer ones stand in fewer texts.
+GRAMS = (1, 2, 3, 5, 8)
+
 
 def guarded(mentions: DataFrame) -> DataFrame:
     """Distinct mentions of two or more characters (counted before the strip) with their stripped text."""
@@ -24,30 +27,43 @@ def by_ticker(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     return guarded(mentions).withColumn("key", F.upper("said")).join(t, "key").select("mention", "id")
 
 
-def substring_candidates(mentions: DataFrame, nodes: DataFrame, floor: float, q: int = 3) -> DataFrame:
-    """(mention, id, name, market_cap) where a name or ticker contains the mention, case ignored, and market_cap is above ``floor``.
-
-    A text that contains the mention contains each of its q-grams, so both sides meet on the mention's
-    q-gram that is rarest in the names: an equi-join with a check of the whole, in place of a join on LIKE.
-    Mentions shorter than ``q`` meet on their own length. Wildcard signs are plain characters.
-    """
+def substring_candidates(mentions: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
+    """(mention, id, name, market_cap) where a name or ticker contains the mention, case ignored, and market_cap is above ``floor``; see substring_matches. Wildcard signs are plain characters."""
     rich = nodes.where((F.col("market_cap") > floor) & ~F.isnan("market_cap")).select("id", "name", "ticker", "market_cap")
     m = guarded(mentions).withColumn("low", F.lower("said")).where("low <> ''").select("mention", "low")
-    return substring_matches(m, rich, q).distinct()
+    return substring_matches(m, rich).distinct()
 
 
-def substring_matches(m: DataFrame, nodes: DataFrame, q: int = 3) -> DataFrame:
-    """(mention, and the columns of ``nodes`` but ticker) where a name or ticker in lower case contains ``low`` of ``m`` (mention, low)."""
+def substring_matches(m: DataFrame, nodes: DataFrame, sizes: tuple[int, ...] = GRAMS) -> DataFrame:
+    """(mention, and the columns of ``nodes`` but ticker) where a name or ticker in lower case contains ``low`` of ``m`` (mention, low), which is not empty.
+
+    A text that contains ``low`` contains each of its q-grams, so both sides meet on one of them: an equi-join with a check of
+    the whole, in place of a join on LIKE. q is the largest of ``sizes`` that ``low`` has; of its q-grams at every half q and at its
+    end the rarest in the texts is taken, and where one is in no text nothing is sought. Only numbers are spread over the q-grams,
+    and no side that grows is broadcast: a plan's guess of what q-grams weigh is that of the table they are cut from. The result is written.
+    """
+    spark = nodes.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # the q-grams are work for all, however few bytes the tables have
     rest = [c for c in nodes.columns if c != "ticker"]
-    texts = nodes.select(*rest, F.explode(F.array(F.lower("name"), F.lower("ticker"))).alias("text")).where("text is not null")
-    cut_up = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    pieces = texts.select(*rest, "text", F.explode(F.array_distinct(F.concat(*[cut_up(F.col("text"), n) for n in range(1, q + 1)]))).alias("gram"))
-    n = F.least(F.length("low"), F.lit(q))
-    grams = m.select("mention", "low", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - n + 1), lambda i: F.substring(F.col("low"), i, n)))).alias("gram"))
-    df = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    rarest = grams.join(df, "gram", "left").groupBy("mention", "low").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("gram"))
-    met = salted_join(rarest, pieces, ["gram"], "inner", heavy_keys(rarest, ["gram"]), spread=["mention"])
-    return met.where(F.contains("text", "low")).select("mention", *rest)
+    gram = lambda c, n: lambda at: F.xxhash64(F.substring(F.col(c), at, F.lit(n)))
+    every = lambda n: F.when(F.length("text") >= n, F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), gram("text", n))).otherwise(F.array().cast("array<bigint>"))
+    last = lambda n: F.length("low") - n + 1
+    some = lambda n: F.array_distinct(F.transform(F.concat(F.sequence(F.lit(1), last(n), F.lit((n + 1) // 2)), F.array(last(n))), gram("low", n)))
+    with scratch(spark) as keep:
+        q = F.coalesce(*[F.when(F.length("low") >= n, n) for n in sorted(sizes, reverse=True)])
+        said = keep(m.repartition(tasks).select(F.monotonically_increasing_id().alias("i"), "mention", "low", q.alias("q")).where("q is not null"))
+        used = [r["q"] for r in said.select("q").distinct().orderBy("q").collect()] or [min(sizes)]
+        texts = nodes.repartition(tasks).select(*rest, F.explode(F.array(F.lower("name"), F.lower("ticker"))).alias("__text")).where("__text is not null")
+        texts = keep(texts.select(F.monotonically_increasing_id().alias("__j"), "*"))
+        pieces = texts.select("__j", F.col("__text").alias("text")).select("__j", F.explode(F.array_distinct(F.concat(*[every(n) for n in used]))).alias("gram"))
+        df = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+        cuts = F.coalesce(*[F.when(F.col("q") == n, some(n)) for n in used])
+        grams = said.select("i", F.explode(cuts).alias("gram")).join(df.hint("merge"), "gram", "left")
+        rarest = grams.groupBy("i").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("r")).where("r.df > 0")
+        rarest = keep(rarest.select("i", "r.gram"))
+        met = salted_join(rarest, pieces.hint("merge"), ["gram"], "inner", heavy_keys(rarest, ["gram"]), spread=["i"]).select("i", "__j")
+        both = met.join(said.select("i", "mention", "low").hint("merge"), "i").join(texts.hint("merge"), "__j")
+        return written(both.where(F.contains("__text", "low")).select("mention", *rest))
 
 
 def _lcs(a: str, b: str) -> int:
