@@ -106,11 +106,12 @@ def fold_best(scored: DataFrame, accept: int = 85, near: int = 5) -> DataFrame:
     Candidates are taken by id. A higher score replaces the choice and the best score; a score within
     ``near`` of the best with a larger market cap replaces the choice only. Accepted if the best score is
     above ``accept``. What came before the first candidate with the highest score has no say; from there on the largest cap wins,
-    at equal caps the lowest id. So two aggregations do, and no mention's candidates have to fit one row.
+    at equal caps the lowest id. So two aggregations do, and no mention's candidates have to fit one row. They are read three
+    times, so they are written once.
     """
-    rows = scored.select("mention", "id", F.col("score").cast("int").alias("score"), F.coalesce(F.col("market_cap").cast("double"), F.lit(0.0)).alias("cap"))
+    rows = written(scored.select("mention", "id", F.col("score").cast("int").alias("score"), F.coalesce(F.col("market_cap").cast("double"), F.lit(0.0)).alias("cap")))
     top = rows.groupBy("mention").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("top")).select("mention", F.col("top.score").alias("best_score"), (-F.col("top.neg")).alias("first")).where(F.col("best_score") > accept)
-    left = salted_join(rows, top, ["mention"], "inner", heavy_keys(rows, ["mention"]), spread=["id"]).where((F.col("id") >= F.col("first")) & (F.col("best_score") - F.col("score") < near))
+    left = salted_join(rows, top.hint("merge"), ["mention"], "inner", heavy_keys(rows, ["mention"]), spread=["id"]).where((F.col("id") >= F.col("first")) & (F.col("best_score") - F.col("score") < near))
     return left.groupBy("mention").agg(F.max_by("id", F.struct("cap", (-F.col("id")).alias("neg"))).alias("id"), F.max("best_score").alias("best_score"))
 
 
