@@ -24,7 +24,7 @@ def guarded(mentions: DataFrame) -> DataFrame:
 def by_ticker(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     """(mention, id): the node whose ticker is the mention in capitals; lowest id of several."""
     t = nodes.where("ticker is not null").groupBy(F.col("ticker").alias("key")).agg(F.min("id").alias("id"))
-    return guarded(mentions).withColumn("key", F.upper("said")).join(t, "key").select("mention", "id")
+    return guarded(mentions).withColumn("key", F.upper("said")).join(t.hint("merge"), "key").select("mention", "id")
 
 
 def substring_candidates(mentions: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
@@ -126,14 +126,14 @@ def resolve(mentions: DataFrame, nodes: DataFrame, aliases: DataFrame, floor: fl
     Stage 1 is the exact ticker, without a cap floor; 2 the fuzzy name among candidates above ``floor``; 3 the
     first alias hit's exact ticker. Unresolved mentions do not come out.
     """
-    one = by_ticker(mentions, nodes).withColumn("stage", F.lit(1))
-    rest = mentions.select("mention").distinct().join(one, "mention", "left_anti")
+    one = written(by_ticker(mentions, nodes).withColumn("stage", F.lit(1)))
+    rest = mentions.select("mention").distinct().join(one.hint("merge"), "mention", "left_anti")
     cand = substring_candidates(rest, nodes, floor)
-    two = fold_best(cand.withColumn("score", name_score(F.lower(F.trim("mention")), F.lower("name")))).select("mention", "id", F.lit(2).alias("stage"))
-    left = guarded(rest.join(two, "mention", "left_anti"))
+    two = written(fold_best(cand.withColumn("score", name_score(F.lower(F.trim("mention")), F.lower("name")))).select("mention", "id", F.lit(2).alias("stage")))
+    left = guarded(rest.join(two.hint("merge"), "mention", "left_anti"))
     tickers = nodes.where("ticker is not null").groupBy(F.col("ticker").alias("symbol")).agg(F.min("id").alias("id"))
-    found = alias_first(aliases).withColumn("symbol", F.upper("symbol")).join(tickers, "symbol")
-    three = left.join(found, F.col("said") == F.col("query_text")).select("mention", "id", F.lit(3).alias("stage"))
+    found = alias_first(aliases).withColumn("symbol", F.upper("symbol")).join(tickers.hint("merge"), "symbol")
+    three = left.join(found.hint("merge"), F.col("said") == F.col("query_text")).select("mention", "id", F.lit(3).alias("stage"))
     return one.unionByName(two).unionByName(three)
 
 
