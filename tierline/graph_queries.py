@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from .functions import text as X
 from .operators import graph, merge, resolve, screener
+from .session import written
 from .sources.io import parse_extraction, url_list
 
 #: Cap above which a company is worth research, or a candidate for a mention.
@@ -398,8 +399,8 @@ def resolve_full(s, d):
 def discover_links(s, d):
     """From landed extractions to new edges: parse, resolve, admit, insert if absent."""
     dep = extract_parse(s, d)
-    found = resolve_full(s, d)
-    side = lambda c, out: found.select(F.col("mention").alias(c), F.col("id").alias(out))
+    found = written(resolve_full(s, d))
+    side = lambda c, out: found.select(F.col("mention").alias(c), F.col("id").alias(out)).hint("merge")
     both = dep.join(side("source_company", "source_id"), "source_company").join(side("target_company", "target_id"), "target_company")
     new = merge.insert_if_absent(table(s, d, "edges"), merge.admit_links(both), ["dep_id"])
     return new.select("dep_id", "source_id", "target_id", "dependency_type", X.confidence("confidence_score").alias("confidence_score"))

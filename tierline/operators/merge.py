@@ -41,7 +41,7 @@ def insert_if_absent(stored: DataFrame, batch: DataFrame, order: list[str], dedu
 
     Without it, repeats inside one batch all come through, as where the existence test cannot see pending rows.
     """
-    new = batch.join(stored.select(*PAIR).distinct(), PAIR, "left_anti")
+    new = batch.join(stored.select(*PAIR).distinct().hint("merge"), PAIR, "left_anti")
     if not dedupe_batch:
         return new
     return new.withColumn("__k", F.row_number().over(W.partitionBy(*PAIR).orderBy(*order))).where("__k = 1").drop("__k")
