@@ -144,6 +144,6 @@ def resolve_links(dependencies: DataFrame, nodes: DataFrame, aliases: DataFrame,
     found = cut(resolve(said, nodes, aliases, floor).select("mention", "id"))
     out = dependencies
     for t, n, i in ends:
-        by = lambda c, name: found.select(F.col("mention").alias(c), F.col("id").alias(name))
+        by = lambda c, name: found.select(F.col("mention").alias(c), F.col("id").alias(name)).hint("merge")
         out = out.join(by(t, "__t"), t, "left").join(by(n, "__n"), n, "left").withColumn(i, F.coalesce("__t", "__n")).drop("__t", "__n")
     return out

@@ -360,5 +360,5 @@ def given_ticker_first(s, d):
 def resolved_links(s, d):
     """Both ends of each dependency through all stages, tickers given for those sources that the symbol search knows."""
     alias = resolve.alias_first(table(s, d, "alias_hits")).withColumnsRenamed({"query_text": "source_company", "symbol": "source_ticker"})
-    dep = table(s, d, "dependencies").select("dep_id", "source_company", "target_company").join(alias, "source_company", "left").withColumn("target_ticker", F.lit(None).cast("string"))
+    dep = table(s, d, "dependencies").select("dep_id", "source_company", "target_company").join(alias.hint("merge"), "source_company", "left").withColumn("target_ticker", F.lit(None).cast("string"))
     return resolve.resolve_links(dep, table(s, d, "nodes"), table(s, d, "alias_hits")).select("dep_id", "source_id", "target_id")
